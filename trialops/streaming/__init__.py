@@ -1,0 +1 @@
+"""Nothing is built here: the recordings are complete files that are reduced once."""
