@@ -14,33 +14,31 @@ def pivot_wide(
     on: Column | str,
     measures: Sequence[str] | Mapping[str, str],
     values: Sequence,
-    keep_empty: bool = False,
     extra: Sequence[Column] = (),
 ) -> DataFrame:
     """One row per key, one column ``<measure>_<value>`` per measure and listed value.
 
-    ``df`` has at most one row per key and value.  ``measures`` may map a column to the name it
-    gets.  Keys and values are separate aggregates over one shuffle, so the width costs no join.
-    Rows whose measures are all missing do not create a key unless ``keep_empty``.  ``extra``
-    aggregates over all rows of a key are added as they are.
+    ``df`` has at most one row per key and value, so a key gathers at most ``len(values)`` cells.
+    ``measures`` may map a column to the name it gets.  Rows whose measures are all missing do
+    not create a key.  ``extra`` aggregates over all rows of a key are added as they are.
     """
     names = dict(measures) if isinstance(measures, Mapping) else {m: m for m in measures}
     on = F.col(on) if isinstance(on, str) else on
-    if not keep_empty:
-        df = df.filter(_any_present(names))
-    cells = [
-        F.max(F.when(on == F.lit(value), F.col(measure))).alias(f"{name}_{value}")
-        for measure, name in names.items()
-        for value in values
+    present = df.filter(" OR ".join(f"`{m}` IS NOT NULL" for m in names))
+    cell = F.when(on.isin(list(values)), F.struct(on.alias("value"), F.struct(*names).alias("measures")))
+    cells = present.groupBy(*keys).agg(F.map_from_entries(F.collect_list(cell)).alias("cells"), *extra)
+    wide = [
+        f"cells[{_literal(value)}].`{measure}` AS `{name}_{value}`" for measure, name in names.items() for value in values
     ]
-    return df.groupBy(*keys).agg(*cells, *extra)
+    others = [c for c in cells.columns if c not in keys and c != "cells"]
+    return cells.selectExpr(*[f"`{c}`" for c in keys], *wide, *[f"`{c}`" for c in others])
 
 
-def _any_present(names: Mapping[str, str]) -> Column:
-    present = F.lit(False)
-    for measure in names:
-        present |= F.col(measure).isNotNull()
-    return present
+def _literal(value) -> str:
+    if isinstance(value, str):
+        quoted = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{quoted}'"
+    return str(value)
 
 
 def label(*parts: str) -> Column:

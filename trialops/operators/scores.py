@@ -53,6 +53,7 @@ def scores_by_sets(
     flanker: str = "flanker",
     rt: str = "rt",
     acc: str = "acc",
+    levels: Sequence[str] = ("subject", "block"),
 ) -> DataFrame:
     """Mean RT of correct trials and error counts for cue, flanker and flanker x cue,
     per subject (``level`` 'subject') and per subject and block ('block').
@@ -63,7 +64,8 @@ def scores_by_sets(
     cells = trial_sums(df, [subject, block, cue, flanker], rt, acc)
     sums = [F.sum(m).alias(m) for m in ("rt_sum", "rt_count", *ERROR_MEASURES)]
     s, b, c, f = (F.col(x) for x in (subject, block, cue, flanker))
-    sets = [[s, c], [s, f], [s, f, c], [s, b, c], [s, b, f], [s, b, f, c]]
+    per_level = {"subject": [[s, c], [s, f], [s, f, c]], "block": [[s, b, c], [s, b, f], [s, b, f, c]]}
+    sets = [keys for level in levels for keys in per_level[level]]
     by_block, by_cue, by_flanker = F.grouping(b) == 0, F.grouping(c) == 0, F.grouping(f) == 0
     grouped = cells.groupingSets(sets, s, b, c, f).agg(
         *sums,

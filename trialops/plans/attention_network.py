@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialops.functions.nulls import strict_total, total
+from trialops.functions.nulls import strict_total
 from trialops.operators.clean import complete_trials, drop_anticipatory, name_blocks
 from trialops.operators.reshape import label, pivot_wide
 from trialops.operators.scores import ERROR_MEASURES, scores_by_sets
@@ -43,29 +43,23 @@ def reduce(
 
     Subjects need a correct trial, and for the block scores one in a named block.
     """
-    return pivot_scores(scores_by_sets(clean(trials)), cues, flankers, blocks, totals_of)
-
-
-def pivot_scores(
-    long: DataFrame,
-    cues: Sequence[str],
-    flankers: Sequence[str] = FLANKERS,
-    blocks: Sequence[str] = BLOCKS,
-    totals_of: Sequence[str] = FLANKERS,
-) -> Scores:
     conditions = [*cues, *flankers, *[f"{f}_{c}" for f in flankers for c in cues]]
-    return Scores(_subject_scores(long, conditions, totals_of), _block_scores(long, conditions, blocks, totals_of))
+    rows = clean(trials)
+    return Scores(
+        _subject_scores(scores_by_sets(rows, levels=["subject"]), conditions, totals_of),
+        _block_scores(scores_by_sets(rows, levels=["block"]), conditions, blocks, totals_of),
+    )
 
 
-def _wide(long: DataFrame, level: str, on: Column, values: list[str]) -> DataFrame:
-    """One row per subject that has a correct trial anywhere on the level."""
-    rows = long.filter(F.col("level") == level).withColumn("named", on)
+def _wide(long: DataFrame, on: Column, values: list[str]) -> DataFrame:
+    """One row per subject that has a correct trial at that level."""
+    rows = long.withColumn("named", on)
     means = F.count("target_rt").alias("means")
     return pivot_wide(rows, ["subject"], "named", MEASURES, values, extra=[means]).filter("means > 0").drop("means")
 
 
 def _subject_scores(long: DataFrame, conditions: list[str], totals_of: Sequence[str]) -> DataFrame:
-    wide = _wide(long, "subject", F.col("condition"), conditions)
+    wide = _wide(long, F.col("condition"), conditions)
     return wide.withColumns(
         {
             name: strict_total([F.col(f"{measure}_{c}") for c in totals_of])
@@ -82,12 +76,14 @@ def _block_scores(
     long: DataFrame, conditions: list[str], blocks: Sequence[str], totals_of: Sequence[str]
 ) -> DataFrame:
     values = [f"{b}_{c}" for b in blocks for c in conditions]
-    wide = _wide(long, "block", label("block", "condition"), values)
-    totals = {}
+    wide = _wide(long, label("block", "condition"), values)
+    totals = []
     for block in blocks:
-        commission = [F.col(f"n_comission_errors_{block}_{c}") for c in totals_of]
-        omission = [F.col(f"n_omission_errors_{block}_{c}") for c in totals_of]
-        totals[f"n_total_comission_errors_{block}"] = total(commission)
-        totals[f"n_total_omission_errors_{block}"] = total(omission)
-        totals[f"n_total_errors_{block}"] = total(commission + omission)
-    return wide.withColumns(totals)
+        commission = [f"coalesce(`n_comission_errors_{block}_{c}`, 0)" for c in totals_of]
+        omission = [f"coalesce(`n_omission_errors_{block}_{c}`, 0)" for c in totals_of]
+        totals += [
+            f"{' + '.join(commission)} AS n_total_comission_errors_{block}",
+            f"{' + '.join(omission)} AS n_total_omission_errors_{block}",
+            f"{' + '.join(commission + omission)} AS n_total_errors_{block}",
+        ]
+    return wide.selectExpr("*", *totals)
