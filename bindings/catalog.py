@@ -1,3 +1,3 @@
 """All bound queries."""
 
-from bindings import gaze, learning, trials, video  # noqa: F401
+from bindings import files, gaze, learning, trials, video  # noqa: F401

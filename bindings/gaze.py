@@ -179,7 +179,7 @@ _THRESHOLD = 5000.0
 
 def latencies(spark, sf_dir):
     rows = labelled(spark, sf_dir)
-    return fixations.first_correct_latency(rows, fixations.sample_bounds(rows))
+    return fixations.first_correct(rows, fixations.sample_bounds(rows))
 
 
 _VALID = f"""SELECT l.subject, l.trial, f.saccade_latency FROM last_fix l LEFT JOIN first_hit f
@@ -211,9 +211,11 @@ def drop_early(spark, sf_dir):
     "g11_latency_scores",
     out(
         f"""{_ALL} SELECT subject, count(trial) AS valid_trials, count(*) FILTER (saccade_latency IS NULL) AS no_disengagement,
-        count(saccade_latency) AS disengagement, median(saccade_latency) AS median_latency
-        FROM ({_VALID}) WHERE saccade_latency IS NULL OR saccade_latency >= {_THRESHOLD} GROUP BY subject""",
-        "subject valid_trials no_disengagement disengagement", "median_latency",
+        count(saccade_latency) AS disengagement, median(saccade_latency) AS median_latency, any_value(excluded) AS excluded_trials,
+        any_value(total) AS total_trials FROM ({_VALID}) JOIN
+        (SELECT subject, count(*) FILTER (gap > 0) AS excluded, count(*) AS total FROM last_fix GROUP BY subject) USING (subject)
+        WHERE saccade_latency IS NULL OR saccade_latency >= {_THRESHOLD} GROUP BY subject""",
+        "subject valid_trials no_disengagement disengagement excluded_trials total_trials", "median_latency",
     ),
 )
 def latency_scores(spark, sf_dir):
@@ -421,7 +423,7 @@ joined AS (SELECT a.*, correct_reactive, fix_mean_correct_reactive FROM ant a JO
     ),
 )
 def anticipation_report(spark, sf_dir):
-    return anticipation.anticipation_report(chosen(spark, sf_dir), file_facts(spark, sf_dir))
+    return anticipation.anticipation_report(chosen(spark, sf_dir))
 
 
 @bind(
@@ -433,7 +435,7 @@ def anticipation_report(spark, sf_dir):
 )
 def reactive_report(spark, sf_dir):
     reacted = anticipation.label_reactive(trial_looks(spark, sf_dir))
-    return anticipation.reactive_report(reacted, file_facts(spark, sf_dir))
+    return anticipation.reactive_report(reacted)
 
 
 _WIDE = " ".join(f"{m}_{b}" for m in switching.MEASURES for b in switching.BLOCKS)

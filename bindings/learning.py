@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings.registry import bind, out, table
-from bindings.views import ATTENDED_SQL, BAND_SQL, FIX_SQL, VISIT_SQL, attended, fix, visit
+from bindings.views import ATTENDED_SQL, GLANCE_SQL, VISIT_SQL, attended, glance, visit
 from trialops.functions import screens
 from trialops.functions import sequences as numbers
 from trialops.operators import clean
@@ -14,7 +14,6 @@ from trialops.operators import visits as v
 from trialops.operators.reshape import fill_grid
 from trialops.plans import area_export, sequence_learning
 
-FIX = f"WITH {FIX_SQL}"
 ATTENDED = f"WITH {ATTENDED_SQL}"
 VISIT = f"WITH {VISIT_SQL}"
 
@@ -133,42 +132,40 @@ def grid(spark, sf_dir):
     return fill_grid(counts.agg(F.count(F.lit(1)).alias("n")), "subject", "subgroup", seq.SUBGROUPS)
 
 
-_LOOKED = f"""{FIX}, {BAND_SQL}, looked AS (
+_LOOKED = f"""WITH {GLANCE_SQL}, looked AS (
   SELECT *, CASE WHEN trial % 2 = 0 THEN 2 ELSE 1 END AS position, (trial + 1) // 2 AS sequence, {_SUBGROUPS["6m"]} AS subgroup FROM
-  (SELECT subject, trial, aoi, coalesce(sum(dur), 0) AS sum_fix, avg(dur) AS mean_fix, min(start_t) AS min_start_time,
-          max(end_t) AS max_end_time FROM banded WHERE aoi IS NOT NULL AND aoi <> 0 GROUP BY ALL)),
-reacted AS (SELECT *, CASE WHEN aoi = position THEN 1 ELSE 0 END AS correct_reactive FROM looked),
+  (SELECT period, subject, trial, aoi, coalesce(sum(dur), 0) AS sum_fix, avg(dur) AS mean_fix, min(start_t) AS min_start_time,
+          max(end_t) AS max_end_time FROM glance_banded WHERE aoi IS NOT NULL AND aoi <> 0 GROUP BY ALL)),
+reacted AS (SELECT *, CASE WHEN aoi = position THEN 1 ELSE 0 END AS correct_reactive FROM looked WHERE period = 'reactive'),
 attended AS (SELECT subject, trial FROM reacted WHERE correct_reactive = 1), {_W2},
 rest AS (SELECT a.subject, trial, trial_second_sequence_attended FROM attended a JOIN reached r ON a.subject = r.subject
          WHERE trial > trial_second_sequence_attended),
 both_periods AS (SELECT l.*, 1 AS correct_reactive, trial_second_sequence_attended,
          CASE WHEN aoi <> position THEN 1 END AS correct_anticipation, CASE WHEN aoi = position THEN 1 END AS sticky_fixation
-         FROM looked l JOIN rest r ON l.subject = r.subject AND l.trial = r.trial),
+         FROM looked l JOIN rest r ON l.subject = r.subject AND l.trial = r.trial WHERE period = 'anticipatory'),
 per_trial AS (SELECT subject, trial, avg(position) AS position, avg(correct_reactive) AS correct_reactive,
          max(correct_anticipation) AS correct_anticipation,
          CASE WHEN max(correct_anticipation) = 1 THEN NULL ELSE max(sticky_fixation) END AS sticky_fixation,
          max(sequence) AS sequence, max(subgroup) AS subgroup FROM both_periods GROUP BY subject, trial)"""
 
 
-def trial_looks(spark, sf_dir):
-    """Without every sixth order a trial has no look at its stimulus."""
-    return sequence_learning.trial_looks(fix(spark, sf_dir))
+def trial_looks(spark, sf_dir, period="anticipatory"):
+    return sequence_learning.trial_looks(glance(spark, sf_dir, period))
 
 
 @bind(
     "p16_trial_looks",
     out(
-        f"{_LOOKED} SELECT * FROM looked", "subject trial aoi position sequence subgroup",
+        f"{_LOOKED} SELECT * FROM looked WHERE period = 'anticipatory'", "subject trial aoi position sequence subgroup",
         "sum_fix mean_fix min_start_time max_end_time",
     ),
-    doubles="",
 )
 def looks(spark, sf_dir):
     return trial_looks(spark, sf_dir)
 
 
 def reacted(spark, sf_dir):
-    return seq.label_reactive(trial_looks(spark, sf_dir))
+    return seq.label_reactive(trial_looks(spark, sf_dir, "reactive"))
 
 
 @bind(
@@ -233,8 +230,8 @@ def _stats(keys: str, sticky: str) -> str:
     ),
 )
 def subject_statistics(spark, sf_dir):
-    rows = fix(spark, sf_dir)
-    return sequence_learning.reduce(rows, rows).subject
+    periods = [glance(spark, sf_dir, p) for p in ("anticipatory", "reactive")]
+    return sequence_learning.reduce(*periods).subject
 
 
 _SUBGROUP_STATS = f"""SELECT g.subject, g.subgroup, n_correct_anticipations, n_sticky_fixations, n_reactive_after_second_sequence,
@@ -269,8 +266,8 @@ _SUB_WIDE = " ".join(f"{m}_{n}" for m in sequence_learning.MEASURES for n in seq
     doubles=_SUB_WIDE,
 )
 def subgroups_wide(spark, sf_dir):
-    rows = fix(spark, sf_dir)
-    return sequence_learning.reduce(rows, rows).subgroup
+    periods = [glance(spark, sf_dir, p) for p in ("anticipatory", "reactive")]
+    return sequence_learning.reduce(*periods).subgroup
 
 
 # --- area export ---------------------------------------------------------------------------

@@ -45,7 +45,7 @@ def first_interruption(spark, sf_dir):
     out(f'{CODED} SELECT file, stream, code, onset, "offset", duration FROM kept', "file", "onset offset duration", "stream code"),
 )
 def cut_at_interruption(spark, sf_dir):
-    return coded_video.events(coded(spark, sf_dir)).drop("first_irruption_onset")
+    return coded_video.events(coded(spark, sf_dir)).drop("first_irruption_onset", "toy1", "toy2")
 
 
 @bind(

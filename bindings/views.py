@@ -120,11 +120,38 @@ def fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-BAND_SQL = """
-banded AS (
-  SELECT *, CASE WHEN NOT (xpos > 0 AND xpos < 1920 AND ypos > 0 AND ypos < 1080) THEN NULL
-                 WHEN xpos <= 764 THEN 1 WHEN xpos >= 1156 THEN 2 ELSE 0 END AS aoi
-  FROM fix)
+_SIDE_LOOKS = """CASE WHEN NOT (xpos > 0 AND xpos < 1920 AND ypos > 0 AND ypos < 1080) THEN NULL
+                 WHEN xpos <= 764 THEN 1 WHEN xpos >= 1156 THEN 2 ELSE 0 END AS aoi"""
+GLANCE_SQL = f"""
+glance AS (
+  SELECT user_id AS subject, 1 + event_id % 24 AS trial,
+         CASE WHEN event_type IN ('view', 'signup') THEN 'anticipatory' ELSE 'reactive' END AS period,
+         floor(value) AS start_t, floor(value) + 10 * (event_id % 30) AS end_t, CAST(10 * (event_id % 30) AS DOUBLE) AS dur,
+         CAST((event_id * 37) % 2000 - 40 AS DOUBLE) AS xpos, CAST((event_id * 13) % 1120 - 20 AS DOUBLE) AS ypos
+  FROM events),
+glance_banded AS (SELECT *, {_SIDE_LOOKS} FROM glance)
+"""
+
+
+def glance(spark: SparkSession, sf_dir: str, period: str) -> DataFrame:
+    """Sparse fixations of the sequence task: two or three per subject and trial."""
+    e, start = F.col("event_id"), F.floor("value").cast("double")
+    dur = (10 * (e % 30)).cast("double")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("subject"),
+        (1 + e % 24).alias("trial"),
+        F.when(F.col("event_type").isin("view", "signup"), "anticipatory").otherwise("reactive").alias("period"),
+        start.alias("start_t"),
+        (start + dur).alias("end_t"),
+        dur.alias("dur"),
+        ((e * 37) % 2000 - 40).cast("double").alias("xpos"),
+        ((e * 13) % 1120 - 20).cast("double").alias("ypos"),
+    )
+    return rows.filter(F.col("period") == period)
+
+
+BAND_SQL = f"""
+banded AS (SELECT *, {_SIDE_LOOKS} FROM fix)
 """
 
 ATTENDED_SQL = """

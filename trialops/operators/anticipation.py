@@ -9,6 +9,7 @@ from trialops.functions.looks import side_differs, side_matches
 from trialops.functions.nulls import is_true, sum_or_zero
 
 FILE = ("subject", "block")
+FACTS = ("position", "anticipations_count_variable", "trial_max_completed")
 
 
 def file_facts(
@@ -22,9 +23,9 @@ def file_facts(
     )
 
 
-def add_position(reduced: DataFrame, facts: DataFrame, keys=FILE) -> DataFrame:
-    """Target side of each file; files without facts have none."""
-    return reduced.join(facts.select(*keys, "position"), list(keys), "left")
+def add_facts(reduced: DataFrame, facts: DataFrame, keys=FILE) -> DataFrame:
+    """Facts of each file on its rows; files without facts have none."""
+    return reduced.join(facts, list(keys), "left")
 
 
 def label_anticipations(df: DataFrame, area: str = "aoi", side: str = "position") -> DataFrame:
@@ -78,22 +79,22 @@ def reactive_counts(df: DataFrame, keys=FILE) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum("correct_reactive").alias("n_reactive"))
 
 
-def anticipation_report(chosen: DataFrame, facts: DataFrame, keys=FILE) -> DataFrame:
-    scores = chosen.groupBy(*keys).agg(
+def anticipation_report(chosen: DataFrame, keys=FILE) -> DataFrame:
+    """Anticipations per file, with its facts."""
+    return chosen.groupBy(*keys, *FACTS).agg(
         sum_or_zero(F.col("correct_anticipation")).alias("correct_anticipations"),
         sum_or_zero(F.col("incorrect_anticipation")).alias("incorrect_anticipations"),
         F.mean("sum_fix_correct").alias("fix_mean_correct_anticipation"),
         F.mean("sum_fix_incorrect").alias("fix_mean_incorrect_anticipation"),
     )
-    return scores.join(facts, list(keys), "left")
 
 
-def reactive_report(labelled: DataFrame, facts: DataFrame, keys=FILE) -> DataFrame:
-    scores = labelled.groupBy(*keys).agg(
+def reactive_report(labelled: DataFrame, keys=FILE) -> DataFrame:
+    """Looks at the stimulus per file, with its side and last trial."""
+    return labelled.groupBy(*keys, "position", "trial_max_completed").agg(
         sum_or_zero(F.col("correct_reactive")).alias("correct_reactive"),
         F.mean("sum_fix").alias("fix_mean_correct_reactive"),
     )
-    return scores.join(facts.drop("anticipations_count_variable"), list(keys), "left")
 
 
 def join_reports(anticipations: DataFrame, reactive: DataFrame, keys=FILE) -> DataFrame:

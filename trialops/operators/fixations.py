@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialops.functions.looks import trial_filter
-from trialops.operators.clean import drop_early_latencies
-from trialops.operators.medians import grouped_median
+from trialops.operators.medians import median_of_counts
 
 TRIAL = ("subject", "trial")
 LATENCY = "saccade_latency"
@@ -27,11 +28,6 @@ def target_side(gaze: DataFrame, keys=TRIAL, side: str = "side", time: str = "ti
     return shown.filter(F.col(side).isNotNull()).groupBy(*keys).agg(joined.alias("target_pos"))
 
 
-def _last(order: Column, columns: list[str]) -> list[Column]:
-    """Last present value of each column."""
-    return [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in columns]
-
-
 def last_fixation(
     fixations: DataFrame, bounds: DataFrame, keys=TRIAL, start: str = "start_t", end: str = "end_t",
     tolerance_ms: float = 0.0,
@@ -40,8 +36,8 @@ def last_fixation(
 
     A trial is included when the fixation ends with the trial, excluded when it ends earlier.
     """
-    order = F.struct(start, end)
-    last = fixations.groupBy(*keys).agg(*_last(order, [start, end]))
+    complete = fixations.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
+    last = complete.groupBy(*keys).agg(F.max(F.struct(start, end)).alias("last")).select(*keys, "last.*")
     gap = F.col("last_time") - F.col(end)
     return last.join(bounds.select(*keys, "last_time"), list(keys)).select(
         *keys,
@@ -63,43 +59,56 @@ def trial_counts(last: DataFrame, subject: str = "subject", trial: str = "trial"
 
 
 def first_correct(
-    fixations: DataFrame, bounds: DataFrame, keys=TRIAL, start: str = "start_t", end: str = "end_t",
+    fixations: DataFrame, bounds: DataFrame, keys=TRIAL, keep: Sequence[str] = (), start: str = "start_t",
     flag: str = "fix_target_correct",
 ) -> DataFrame:
     """First fixation on the target in each trial, and its latency from the trial's first sample.
 
-    ``fixations`` holds one row per trial and start, so the earliest row is kept by an aggregate,
-    which combines before the shuffle, instead of by sorting whole trials.
+    The earliest start, and the ``keep`` columns of its row, come from an aggregate, which
+    combines before the shuffle, instead of from sorting whole trials.
     """
-    others = [c for c in fixations.columns if c not in (*keys, start, end)]
-    row = F.min(F.struct(start, end, *others)).alias("row")
-    first = fixations.filter(F.col(flag) == 1).groupBy(*keys).agg(row).select(*keys, "row.*")
+    hits = fixations.filter(F.col(flag) == 1).groupBy(*keys)
+    if keep:
+        first = hits.agg(F.min(F.struct(start, *keep)).alias("row")).select(*keys, "row.*")
+    else:
+        first = hits.agg(F.min(start).alias(start))
     onset = bounds.select(*keys, "first_time")
     return first.join(onset, list(keys)).withColumn(LATENCY, F.col(start) - F.col("first_time"))
 
 
-def first_correct_latency(
-    fixations: DataFrame, bounds: DataFrame, keys=TRIAL, start: str = "start_t", flag: str = "fix_target_correct"
-) -> DataFrame:
-    """Latency of the first fixation on the target, without the rest of its row."""
-    first = fixations.filter(F.col(flag) == 1).groupBy(*keys).agg(F.min(start).alias(start))
-    onset = bounds.select(*keys, "first_time")
-    return first.join(onset, list(keys)).select(*keys, (F.col(start) - F.col("first_time")).alias(LATENCY))
-
-
 def latency_scores(
     last: DataFrame, latencies: DataFrame, threshold_ms: float, groups: list[str] | None = None, keys=TRIAL
 ) -> DataFrame:
-    """Median latency, valid trials, and trials with and without a look at the target."""
+    """Median latency, valid trials, trials with and without a look at the target, and the
+    excluded and total trials.
+
+    Valid trials are included ones whose latency, if any, reaches the threshold.  Trials are
+    counted once by group, validity and latency, and all scores follow from those counts.
+    """
     groups = groups or ["subject"]
-    valid = last.filter("trial_filter = 1").join(latencies.select(*keys, LATENCY), list(keys), "left")
-    kept = drop_early_latencies(valid, LATENCY, threshold_ms)
-    counts = kept.groupBy(*groups).agg(
-        F.count(keys[-1]).alias("valid_trials"),
-        F.count_if(F.col(LATENCY).isNull()).alias("no_disengagement"),
-        F.count(LATENCY).alias("disengagement"),
+    latency, n = F.col(LATENCY), F.col("copies")
+    valid = (F.col("trial_filter") == 1) & (latency.isNull() | (latency >= threshold_ms))
+    trials = last.join(latencies.select(*keys, LATENCY), list(keys), "left").select(
+        *groups,
+        F.coalesce(valid, F.lit(False)).alias("valid"),
+        (F.col("gap") > 0).alias("excluded"),
+        F.when(valid, latency).alias(LATENCY),
+    )
+    counted = trials.groupBy(*groups, "valid", "excluded", LATENCY).agg(F.count(F.lit(1)).alias("copies"))
+    scores = median_of_counts(
+        counted,
+        groups,
+        LATENCY,
+        "median_latency",
+        {
+            "valid_trials": F.when(F.col("valid"), n).otherwise(0),
+            "no_disengagement": F.when(F.col("valid") & latency.isNull(), n).otherwise(0),
+            "disengagement": F.when(latency.isNotNull(), n).otherwise(0),
+            "excluded_trials": F.when(F.col("excluded"), n).otherwise(0),
+            "total_trials": n,
+        },
     )
-    return counts.join(grouped_median(kept, groups, LATENCY, "median_latency"), groups)
+    return scores.filter("valid_trials > 0")
 
 
 def reduce_fixations(

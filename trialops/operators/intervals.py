@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialops.functions.nulls import INFINITY
+from trialops.operators.joins import spread_join
 
 APPROACH = "A"  # fixed value: code of approaching a toy
 
@@ -42,14 +43,12 @@ def first_interruption(df: DataFrame, file: str = "file", onset: str = "onset")
     return df.groupBy(file).agg(first.alias("first_irruption_onset"))
 
 
-def cut_at_interruption(events: DataFrame, interruptions: DataFrame, file: str = "file") -> DataFrame:
-    """Events that start before the interruption, ending with it at the latest."""
-    cut = F.col("first_irruption_onset")
-    joined = events.join(interruptions, file, "left").withColumn(
-        "first_irruption_onset", F.coalesce(cut, F.lit(INFINITY))
-    )
+def cut_at_interruption(events: DataFrame, files: DataFrame, file: str = "file") -> DataFrame:
+    """Events that start before the ``first_irruption_onset`` of their file, ending with it at
+    the latest.  ``files`` has a row per file; a file may hold most of the events."""
+    joined = spread_join(events, files, file, ["onset", "stream"])
     clamped = F.when(F.col("offset").isNotNull(), F.least("offset", "first_irruption_onset"))
-    return joined.filter(F.col("onset") < cut).withColumn("offset", clamped)
+    return joined.filter(F.col("onset") < F.col("first_irruption_onset")).withColumn("offset", clamped)
 
 
 def with_duration(events: DataFrame) -> DataFrame:
@@ -89,7 +88,10 @@ def toys(coded: DataFrame, file: str = "file", one: str = "toy1", two: str = "to
 
 
 def wide_times(
-    events: DataFrame, codes: dict[str, Sequence[str]], totals: Sequence[str], file: str = "file",
+    events: DataFrame,
+    codes: dict[str, Sequence[str]],
+    totals: Sequence[str],
+    keys: Sequence[str] = ("file",),
     approaches: dict[str, str] | None = None,
 ) -> DataFrame:
     """One row per file: ``<stream>_time_<code>``, ``<stream>_total_time`` and first approaches.
@@ -105,4 +107,4 @@ def wide_times(
     ]
     sums = [time_without_approach(s).alias(f"{s}_total_time") for s in totals]
     firsts = [first_approach(s).alias(name) for name, s in (approaches or {}).items()]
-    return events.groupBy(file).agg(*cells, *sums, *firsts)
+    return events.groupBy(*keys).agg(*cells, *sums, *firsts)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CUTS = 64
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+RANGES_PER_OCTAVE = 1024
 
 
 def weighted_median(value: Column, weight: Column) -> Column:
@@ -18,69 +18,75 @@ def weighted_median(value: Column, weight: Column) -> Column:
     return F.percentile(value, 0.5, weight)
 
 
-def grouped_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+def is_integral(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, INTEGRAL)
+
+
+def count_copies(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values of each group with their number, ``copies``.
+
+    The shuffle carries one row per distinct value and map task, spread over (keys, value).
+    """
+    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def grouped_median(
+    df: DataFrame, keys: list[str], value: str, name: str, sums: dict[str, Column] | None = None
+) -> DataFrame:
     """One row per group with the exact median of ``value`` (missing values skipped).
 
-    Equal values are counted first, so the big shuffle carries one row per distinct value and
-    is spread over (keys, value).  Whole numbers are then reduced per group at once.  Fractional
-    values can be as many as there are rows, so their groups are cut into ranges by a bounded
-    sketch and only the range that holds the middle ranks is ordered.
+    ``sums`` are further totals per group, given per distinct value and its ``copies``.
+    Keys are present in every row.
     """
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
-    if isinstance(df.schema[value].dataType, INTEGRAL):
-        return counted.groupBy(*keys).agg(weighted_median(F.col(value), F.col("copies")).alias(name))
-    return _median_by_ranges(counted, keys, value, name)
+    counted = count_copies(df, keys, value)
+    if is_integral(df, value):
+        totals = [F.sum(c).alias(n) for n, c in (sums or {}).items()]
+        return counted.groupBy(*keys).agg(weighted_median(F.col(value), F.col("copies")).alias(name), *totals)
+    return median_of_counts(counted, keys, value, name, sums)
 
 
-def _median_by_ranges(counted: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    present = counted.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    cuts = [i / CUTS for i in range(1, CUTS)]
-    bounds = present.groupBy(*keys).agg(
-        F.sum("copies").alias("total"), F.percentile_approx(value, cuts, 10_000).alias("cuts")
-    )
-    same_keys = _null_safe(keys)
-    v = F.col("v." + value)
-    ranged = (
-        present.alias("v")
-        .join(bounds.alias("b"), same_keys("v", "b"))
-        .select("v.*", "b.total", F.size(F.filter("b.cuts", lambda cut: cut < v)).alias("part"))
-    )
-    parts = ranged.groupBy(*keys, "part").agg(F.sum("copies").alias("inside"), F.first("total").alias("total"))
-    # at most CUTS rows per group
-    in_order = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+def value_range(value: Column) -> Column:
+    """Number of a narrow range of values; larger values never have a smaller number.
+
+    Ranges are a fraction of a percent wide and finest around 0, so any double falls in one of
+    at most half a million ranges, whatever its unit.
+    """
+    return F.signum(value) * F.floor(RANGES_PER_OCTAVE * F.log2(1 + 1000 * F.abs(value)))
+
+
+def median_of_counts(
+    counted: DataFrame, keys: list[str], value: str, name: str, sums: dict[str, Column] | None = None
+) -> DataFrame:
+    """Exact medians of fractional values from their ``copies``.
+
+    Fractional values can be as many as there are rows, so a group is never ordered as a whole:
+    the ranges of its values are counted, and only the range with the middle ranks is ordered.
+    """
+    sums = sums or {}
+    ranged = counted.withColumn("range", value_range(F.nanvl(value, F.lit(None).cast("double"))))
+    inside = F.coalesce(F.sum(F.when(F.col("range").isNotNull(), F.col("copies"))), F.lit(0))
+    ranges = ranged.groupBy(*keys, "range").agg(inside.alias("inside"), *[F.sum(c).alias(n) for n, c in sums.items()])
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(F.col("range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     middle = (
-        parts.withColumn("upto", F.sum("inside").over(in_order))
+        ranges.withColumns(
+            {
+                "upto": F.sum("inside").over(upto),
+                "total": F.sum("inside").over(group),
+                **{n: F.sum(n).over(group) for n in sums},
+            }
+        )
         .withColumn("before", F.col("upto") - F.col("inside"))
-        .withColumn("low_rank", F.expr("(total + 1) div 2"))
-        .withColumn("high_rank", F.expr("total div 2 + 1"))
-        .filter((F.col("before") < F.col("high_rank")) & (F.col("upto") >= F.col("low_rank")))
+        .withColumns({"low_rank": F.expr("(total + 1) div 2"), "high_rank": F.expr("total div 2 + 1")})
+        # a group without values keeps its one row, for the totals
+        .filter("total = 0 OR (before < high_rank AND upto >= low_rank)")
         .drop("inside", "upto", "total")
     )
-    v_in_part = Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ordered = (
-        ranged.alias("v")
-        .join(middle.alias("m"), same_keys("v", "m") & (F.col("v.part") == F.col("m.part")))
-        .select("v.*", "m.before", "m.low_rank", "m.high_rank")
-        .withColumn("last_rank", F.col("before") + F.sum("copies").over(v_in_part))
-        .withColumn("first_rank", F.col("last_rank") - F.col("copies") + 1)
+    in_range = Window.partitionBy(*keys, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    candidates = ranged.select(*keys, "range", value, "copies").filter("range IS NOT NULL")
+    ordered = middle.join(candidates, [*keys, "range"], "left").withColumn(
+        "last_rank", F.col("before") + F.sum("copies").over(in_range)
     )
-    low = F.max(F.when(F.col("low_rank").between(F.col("first_rank"), F.col("last_rank")), F.col(value)))
-    high = F.max(F.when(F.col("high_rank").between(F.col("first_rank"), F.col("last_rank")), F.col(value)))
-    medians = ordered.groupBy(*keys).agg(((low + high) / 2).alias(name))
-    # groups whose values are all missing keep a row
-    groups = counted.groupBy(*keys).agg(F.lit(1).alias("one"))
-    return (
-        groups.alias("g")
-        .join(medians.alias("m"), same_keys("g", "m"), "left")
-        .select(*[F.col(f"g.{k}").alias(k) for k in keys], F.col(f"m.{name}").alias(name))
-    )
-
-
-def _null_safe(keys: list[str]):
-    def condition(left: str, right: str) -> Column:
-        matches = F.lit(True)
-        for key in keys:
-            matches &= F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
-        return matches
-
-    return condition
+    holds = "{} > last_rank - copies AND {} <= last_rank"
+    low, high = (F.max(F.when(F.expr(holds.format(r, r)), F.col(value))) for r in ("low_rank", "high_rank"))
+    return ordered.groupBy(*keys).agg(((low + high) / 2).alias(name), *[F.max(n).alias(n) for n in sums])

@@ -96,15 +96,12 @@ def scores_by_sets(
 
 def mean_and_median(df: DataFrame, keys: list[str], value: str, prefix: str) -> DataFrame:
     """Mean and exact median per group, ``<prefix>_mean`` and ``<prefix>_median``."""
-    if dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint"):
-        counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
-        v, n = F.col(value), F.col("copies")
-        return counted.groupBy(*keys).agg(
-            F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias(f"{prefix}_mean"),
-            weighted_median(v, n).alias(f"{prefix}_median"),
-        )
-    means = df.groupBy(*keys).agg(F.mean(value).alias(f"{prefix}_mean"))
-    return means.join(grouped_median(df, keys, value, f"{prefix}_median"), keys)
+    v, n = F.col(value), F.col("copies")
+    sums = {"value_sum": v * n, "value_count": F.when(v.isNotNull(), n)}
+    scores = grouped_median(df, keys, value, f"{prefix}_median", sums)
+    return scores.select(
+        *keys, F.try_divide("value_sum", "value_count").alias(f"{prefix}_mean"), f"{prefix}_median"
+    )
 
 
 def touch_cells(
@@ -119,7 +116,7 @@ def touch_cells(
 
     errors, omissions = count_of(F.col(acc) == 0), count_of(F.col(rt) == 0)
     return counted.groupBy(*keys).agg(
-        F.percentile(F.when(right, F.col(rt)), 0.5, n).alias("median_rt"),
+        weighted_median(F.when(right, F.col(rt)), n).alias("median_rt"),
         count_of(F.col(acc).isNotNull()).alias("number_trials"),
         errors.alias("number_errors"),
         omissions.alias("number_errors_omission"),

@@ -18,10 +18,19 @@ STREAMS = {
 CODERS = ("Behaviour1", "Behaviour2")
 
 
-def events(coded: DataFrame) -> DataFrame:
-    """Long events up to the first interruption of each file, with durations."""
-    cut = iv.first_interruption(coded, onset="irruption_onset")
-    return iv.with_duration(iv.cut_at_interruption(iv.to_intervals(coded, STREAMS), cut))
+def facts(coded: DataFrame) -> DataFrame:
+    """First interruption and toys of each file."""
+    return coded.groupBy("file").agg(
+        F.coalesce(F.min("irruption_onset"), F.lit(INFINITY)).alias("first_irruption_onset"),
+        F.sort_array(F.collect_set("toy1")).alias("toy1"),
+        F.sort_array(F.collect_set("toy2")).alias("toy2"),
+    )
+
+
+def events(coded: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Long events up to the first interruption of each file, with durations and the facts."""
+    known = facts(coded) if known is None else known
+    return iv.with_duration(iv.cut_at_interruption(iv.to_intervals(coded, STREAMS), known))
 
 
 def reduce(coded: DataFrame, behaviours: Sequence[str], objects: Sequence[str]) -> DataFrame:
@@ -32,22 +41,10 @@ def reduce(coded: DataFrame, behaviours: Sequence[str], objects: Sequence[str])
     """
     codes = {**{s: behaviours for s in CODERS}, "Orienting": objects}
     approaches = {"Toy1_A_onset": "Behaviour1", "Toy2_A_onset": "Behaviour2"}
-    facts = coded.groupBy("file").agg(
-        F.coalesce(F.min("irruption_onset"), F.lit(INFINITY)).alias("first_irruption_onset"),
-        F.sort_array(F.collect_set("toy1")).alias("toy1"),
-        F.sort_array(F.collect_set("toy2")).alias("toy2"),
-    )
-    long = iv.with_duration(
-        iv.cut_at_interruption(iv.to_intervals(coded, STREAMS), facts.select("file", "first_irruption_onset"))
-    )
-    wide = iv.wide_times(long, codes, CODERS, approaches=approaches)
-    return wide.join(facts, "file").select(
-        F.col("file").alias("code"),
-        "first_irruption_onset",
-        *[c for c in wide.columns if c.startswith(("Behaviour", "Orienting"))],
-        "Toy1_A_onset",
-        "Toy2_A_onset",
-        iv.preferred(F.col("Toy1_A_onset"), F.col("Toy2_A_onset"), F.col("toy1"), F.col("toy2")).alias(
-            "Toy_preferred"
-        ),
+    kept = ["first_irruption_onset", "toy1", "toy2"]
+    wide = iv.wide_times(events(coded), codes, CODERS, ["file", *kept], approaches)
+    toy = iv.preferred(F.col("Toy1_A_onset"), F.col("Toy2_A_onset"), F.col("toy1"), F.col("toy2"))
+    times = [c for c in wide.columns if c.startswith(("Behaviour", "Orienting"))]
+    return wide.select(
+        F.col("file").alias("code"), kept[0], *times, *approaches, toy.alias("Toy_preferred")
     )

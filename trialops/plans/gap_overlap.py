@@ -11,12 +11,11 @@ from trialops.functions.looks import Screen, central_area, target_area, target_f
 from trialops.functions.nulls import ratio, strict_total
 from trialops.operators.detect import Detection, detect_fixations
 from trialops.operators.fixations import (
-    first_correct_latency,
+    first_correct,
     last_fixation,
     latency_scores,
     sample_bounds,
     target_side,
-    trial_counts,
 )
 from trialops.operators.reshape import pivot_wide
 
@@ -74,35 +73,26 @@ def reduce(
     ``parity_totals`` leaves the totals of subjects without excluded trials empty.
     """
     last = central(central_period, screen, tolerance_ms)
-    latencies = first_correct_latency(label_target(target_period.fixations, screen), target_period.bounds, KEYS)
+    latencies = first_correct(label_target(target_period.fixations, screen), target_period.bounds, KEYS)
     scores = latency_scores(last, latencies, threshold_ms, ["subject", "condition"], KEYS)
-    totals = counts_per_condition(last, parity_totals)
-    return combine(scores, totals)
+    return combine(scores, parity_totals)
 
 
-def counts_per_condition(last: DataFrame, parity: bool = False) -> DataFrame:
-    counts = last.groupBy("subject", "condition").agg(
-        F.count_if(F.col("gap") > 0).alias("excluded"), F.countDistinct("trial").alias("total_trials")
-    )
-    return counts.filter("excluded > 0") if parity else counts
-
-
-def combine(scores: DataFrame, totals: DataFrame) -> DataFrame:
+def combine(scores: DataFrame, parity_totals: bool = False) -> DataFrame:
     """Both conditions side by side, with totals and proportions."""
     over, gap = CONDITIONS.values()
     named = F.create_map(*[F.lit(v) for pair in CONDITIONS.items() for v in pair])[F.col("condition")]
-    wide = pivot_wide(scores, ["subject"], named, MEASURES, (over, gap))
+    if parity_totals:
+        scores = scores.withColumn("total_trials", F.when(F.col("excluded_trials") > 0, F.col("total_trials")))
+    wide = pivot_wide(scores, ["subject"], named, {**MEASURES, "total_trials": "trials"}, (over, gap))
     both = wide.filter(F.col(f"total_ValidTrials_{over}").isNotNull() & F.col(f"total_ValidTrials_{gap}").isNotNull())
-    counted = totals.groupBy("subject").agg(
-        F.max(F.when(F.col("condition") == "gap", F.col("total_trials"))).alias("Total_GapTrials"),
-        F.max(F.when(F.col("condition") == "overlap", F.col("total_trials"))).alias("Total_OverlapTrials"),
-    )
+    both = both.withColumnsRenamed({f"trials_{gap}": "Total_GapTrials", f"trials_{over}": "Total_OverlapTrials"})
     valid = {c: F.col(f"total_ValidTrials_{c}") for c in (over, gap)}
     left = {c: F.col(f"total_Disengagement_{c}") for c in (over, gap)}
     all_trials = strict_total([F.col("Total_GapTrials"), F.col("Total_OverlapTrials")])
     all_valid = strict_total([valid[over], valid[gap]])
     latency = MEASURES["median_latency"]
-    return both.join(counted, "subject", "left").withColumns(
+    return both.withColumns(
         {
             "Total_Trials": all_trials,
             "Total_ValidTrials": all_valid,

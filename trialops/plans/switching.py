@@ -44,14 +44,15 @@ def segment(gaze: DataFrame, options: Detection = Detection()) -> DataFrame:
 
 
 def trial_looks(fixations: DataFrame, facts: DataFrame, screen: Screen = Screen()) -> DataFrame:
-    """Total looking time per trial and area, with the target side of the file."""
+    """Total looking time per trial and area, with the facts of the file (target side, counts)."""
     labelled = fixations.withColumn("aoi", numbered_area(F.col("xpos"), F.col("ypos"), screen))
-    return looks.add_position(reduce_fixations(labelled, KEYS), facts)
+    return looks.add_facts(reduce_fixations(labelled, KEYS), facts)
 
 
 def long_anticipations(fixations: DataFrame, facts: DataFrame, screen: Screen = Screen()) -> DataFrame:
+    """One row per trial with a side look.  The facts ride along as keys: a file has one of each."""
     labelled = looks.label_anticipations(trial_looks(fixations, facts, screen))
-    return looks.choose_anticipation(labelled, [*KEYS, "position"])
+    return looks.choose_anticipation(labelled, [*KEYS, *looks.FACTS])
 
 
 def reduce(
@@ -64,7 +65,5 @@ def reduce(
     """Long and short reports from the fixations and file facts of the two periods."""
     chosen = long_anticipations(anticipatory, anticipatory_facts, screen)
     reacted = looks.label_reactive(trial_looks(reactive, reactive_facts, screen))
-    joined = looks.join_reports(
-        looks.anticipation_report(chosen, anticipatory_facts), looks.reactive_report(reacted, reactive_facts)
-    )
+    joined = looks.join_reports(looks.anticipation_report(chosen), looks.reactive_report(reacted))
     return Reports(chosen, reacted, pivot_wide(joined, ["subject"], "block", MEASURES, BLOCKS))
