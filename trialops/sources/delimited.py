@@ -35,13 +35,21 @@ def read_text_columns(spark: SparkSession, path, sep: str, glob: str, skip_long:
     schema = _text_schema(spark, path, **options)
     if skip_long:
         schema = schema.add(REJECTED, StringType())
+    # pruned columns would hide surplus fields from the parser
     reader = spark.read.schema(schema).options(
-        header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=REJECTED, **options
+        header=True,
+        enforceSchema=False,
+        mode="PERMISSIVE",
+        columnNameOfCorruptRecord=REJECTED,
+        columnPruning=not skip_long,
+        **options,
     )
     rows = reader.csv(path)
     if skip_long:
         fields = F.size(F.split(REJECTED, _outside_quotes(sep)))
-        rows = rows.filter(F.col(REJECTED).isNull() | (fields <= len(schema) - 1)).drop(REJECTED)
+        # always true, but Spark does not read the rejected line without a column beside it
+        beside = F.length(F.concat_ws("", F.col(f"`{schema.names[0]}`"))) >= 0
+        rows = rows.filter((F.col(REJECTED).isNull() | (fields <= len(schema) - 1)) & beside).drop(REJECTED)
     return rows.withColumn("file", F.col("_metadata.file_name"))
 
 
