@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,9 +39,9 @@ def grouped_median(
     """One row per group with the exact median of ``value`` (missing values skipped).
 
     ``sums`` are further totals per group, given per distinct value and its ``copies``.
-    Keys are present in every row.
+    Rows without a key belong to no group.
     """
-    counted = count_copies(df, keys, value)
+    counted = count_copies(df.filter(reduce(and_, [F.col(k).isNotNull() for k in keys])), keys, value)
     if is_integral(df, value):
         totals = [F.sum(c).alias(n) for n, c in (sums or {}).items()]
         return counted.groupBy(*keys).agg(weighted_median(F.col(value), F.col("copies")).alias(name), *totals)
@@ -63,6 +66,8 @@ def median_of_counts(
     the ranges of its values are counted, and only the range with the middle ranks is ordered.
     """
     sums = sums or {}
+    # stated here for both uses of the counts, else later joins add it to one of them only
+    counted = counted.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
     ranged = counted.withColumn("range", value_range(F.nanvl(value, F.lit(None).cast("double"))))
     inside = F.coalesce(F.sum(F.when(F.col("range").isNotNull(), F.col("copies"))), F.lit(0))
     ranges = ranged.groupBy(*keys, "range").agg(inside.alias("inside"), *[F.sum(c).alias(n) for n, c in sums.items()])
@@ -83,9 +88,14 @@ def median_of_counts(
         .drop("inside", "upto", "total")
     )
     in_range = Window.partitionBy(*keys, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    candidates = ranged.select(*keys, "range", value, "copies").filter("range IS NOT NULL")
-    ordered = middle.join(candidates, [*keys, "range"], "left").withColumn(
-        "last_rank", F.col("before") + F.sum("copies").over(in_range)
+    # null-safe matching: no filter reaches the counts from this side only, so that Spark runs
+    # the shuffle of the counts once for both uses
+    same = reduce(and_, [F.col(f"m.{c}").eqNullSafe(F.col(f"v.{c}")) for c in [*keys, "range"]])
+    ordered = (
+        middle.alias("m")
+        .join(ranged.alias("v"), same, "left")
+        .select("m.*", f"v.{value}", "v.copies")
+        .withColumn("last_rank", F.col("before") + F.sum("copies").over(in_range))
     )
     holds = "{} > last_rank - copies AND {} <= last_rank"
     low, high = (F.max(F.when(F.expr(holds.format(r, r)), F.col(value))) for r in ("low_rank", "high_rank"))
