@@ -105,10 +105,15 @@ def mean_and_median(df: DataFrame, keys: list[str], value: str, prefix: str) ->
 
 
 def touch_cells(
-    df: DataFrame, keys: list[str], rt: str = "rt", acc: str = "acc", correct: int = 1
+    df: DataFrame, keys: list[str], rt: str = "rt", acc: str = "acc", correct: int = 1, touches: str | None = None
 ) -> DataFrame:
-    """Median RT of correct trials and error counts per group, in one pass over the trials."""
-    counted = df.groupBy(*keys, rt, acc).agg(F.count(F.lit(1)).alias("copies"))
+    """Median RT of correct trials and error counts per group, in one pass over the trials.
+
+    Trials without ``rt`` and ``acc`` count for nothing but ``anticipations``, the trials with an
+    anticipatory touch, given with ``touches``.
+    """
+    anticipated = [F.count_if(differs(F.col(touches), 0)).alias("anticipations")] if touches else []
+    counted = df.groupBy(*keys, rt, acc).agg(F.count(F.lit(1)).alias("copies"), *anticipated)
     n, right = F.col("copies"), F.col(acc) == correct
 
     def count_of(condition: Column) -> Column:
@@ -121,6 +126,7 @@ def touch_cells(
         errors.alias("number_errors"),
         omissions.alias("number_errors_omission"),
         (errors - omissions).alias("number_errors_commission"),
+        *[F.sum("anticipations").alias("anticipations") for _ in anticipated],
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialops.functions.nulls import total
-from trialops.operators.clean import complete_trials, drop_anticipatory
+from trialops.operators.clean import ANTICIPATORY_MS, complete_trials, drop_anticipatory
 from trialops.operators.reshape import pivot_wide
 from trialops.operators.scores import anticipation_counts, touch_cells
 
@@ -31,22 +31,22 @@ def reduce(trials: DataFrame, first: str = "Alert", second: str = "NoAlert") ->
 
     Sessions without any correct trial have no row.
     """
-    cells = touch_cells(clean(trials), [*SESSION, "condition"])
+    return _wide(touch_cells(clean(trials), [*SESSION, "condition"]), first, second, ERRORS)
+
+
+def _wide(cells: DataFrame, first: str, second: str, counts: dict[str, str]) -> DataFrame:
     medians = F.count("median_rt").alias("medians")
-    wide = pivot_wide(
-        cells, SESSION, "condition", {"median_rt": "median_rt", **ERRORS}, (first, second), extra=[medians]
-    )
+    measures = {"median_rt": "median_rt", **counts}
+    wide = pivot_wide(cells, SESSION, "condition", measures, (first, second), extra=[medians])
     named = wide.filter("medians > 0").drop("medians").withColumnsRenamed(
         {f"median_rt_{c}": c for c in (first, second)}
     )
     filled = named.fillna(0, subset=[c for c in named.columns if c not in SESSION])
+    totals = {"total_errors": "errors", "total_trials": "total_trials"}
+    if "anticipations" in counts:
+        totals["total_anticipations"] = "anticipations"
     return filled.withColumns(
-        {
-            name: total([F.col(f"{name}_{first}"), F.col(f"{name}_{second}")]).alias(name)
-            if name == "total_trials"
-            else total([F.col(f"errors_{first}"), F.col(f"errors_{second}")])
-            for name in ("total_errors", "total_trials")
-        }
+        {name: total([F.col(f"{m}_{first}"), F.col(f"{m}_{second}")]) for name, m in totals.items()}
     )
 
 
@@ -60,4 +60,19 @@ def anticipations(trials: DataFrame, first: str = "Alert", second: str = "NoAler
 
 
 def reduce_with_anticipations(trials: DataFrame, first: str = "Alert", second: str = "NoAlert") -> DataFrame:
-    return reduce(trials, first, second).join(anticipations(trials, first, second), SESSION)
+    """``reduce`` with the touches of ``anticipations``, in one pass over the trials.
+
+    Trials that do not enter the scores lose their response but stay for the touches.
+    """
+    rt, acc = F.col("rt"), F.col("acc")
+    complete = rt.isNotNull() & acc.isNotNull()
+    kept = complete & ((rt.cast("int") > ANTICIPATORY_MS) | (rt.cast("int") == 0))
+    known = trials.dropna(subset=[*SESSION, "condition"]).withColumns(
+        {
+            "subject": F.col("subject").cast("int"),
+            "rt": F.when(kept, rt.cast("int")),
+            "acc": F.when(kept, acc.cast("int")),
+        }
+    )
+    cells = touch_cells(known, [*SESSION, "condition"], touches="anticipated_count")
+    return _wide(cells, first, second, {**ERRORS, "anticipations": "anticipations"})
