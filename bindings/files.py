@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from bindings.registry import bind, out, table
 from bindings.views import CODED_SQL, TRIAL_SQL, VISIT_SQL, coded, trial_raw, visit
+from trialops.functions.nulls import is_true, to_number
+from trialops.operators.reshape import first_row, label
 from trialops.plans import switching
 from trialops.session import shared_folder
 from trialops.sources import delimited, schemas, sinks
@@ -37,7 +39,7 @@ def semicolon_file(spark, sf_dir):
 
 
 @bind(
-    "s6_skip_long_lines",
+    "s3_s6_skip_long_lines",
     out(
         """SELECT user_id AS subject, event_type AS condition, event_id AS rt, event_id % 2 AS acc, 'day' AS timestamp
         FROM events WHERE event_id % 10 <> 0""",
@@ -152,7 +154,7 @@ def decimal_comma(spark, sf_dir):
     return spark.read.options(header=True, sep=";").csv(path).withColumnRenamed("value", "text")
 
 
-@bind("s12_decimal_point", out("SELECT CAST(value AS VARCHAR) AS text FROM events", "", "", "text"))
+@bind("s12_s13_decimal_point", out("SELECT CAST(value AS VARCHAR) AS text FROM events", "", "", "text"))
 def decimal_point(spark, sf_dir):
     path = folder(spark)
     sinks.write_scores(table(spark, sf_dir, "events").select("value"), path, decimal=".")
@@ -186,3 +188,52 @@ def lookup(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     last = events.filter("event_type = 'error'").groupBy("user_id").agg(F.max("event_id").alias("last_event"))
     return events.join(last, "user_id", "left").select("event_id", "last_event")
+
+
+@bind(
+    "p17_numeric_coercion",
+    out(
+        """SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN event_type ELSE CAST(event_id AS VARCHAR) END AS DOUBLE) AS number
+        FROM events""",
+        "event_id", "number",
+    ),
+)
+def numeric_coercion(spark, sf_dir):
+    e = F.col("event_id")
+    text = F.when(e % 3 == 0, F.col("event_type")).otherwise(e.cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", to_number(text).alias("number"))
+
+
+@bind(
+    "w5_first_row",
+    out(
+        """SELECT user_id, event_id, event_type, value FROM
+        (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events) WHERE place = 1""",
+        "user_id event_id", "value", "event_type",
+    ),
+)
+def first_rows(spark, sf_dir):
+    return first_row(table(spark, sf_dir, "events"), ["user_id"], "event_id", ["event_type", "value"])
+
+
+@bind(
+    "a4_a5_a6_scalar_functions",
+    out(
+        """SELECT p_partkey, p_brand || '_' || p_size AS name, 1 + p_size // 6 AS bucket, abs(p_size - 25) AS apart,
+        CASE WHEN p_name LIKE '%a%' AND p_size IN (1, 2, 3) THEN 1 ELSE 0 END AS hit, substr(p_name, 3, 4) AS cut,
+        CASE WHEN p_name LIKE '%d' THEN 1 ELSE 0 END AS ends, trim(' ' || p_type || ' ') AS clean FROM part""",
+        "p_partkey bucket apart hit ends", "", "name cut clean",
+    ),
+)
+def scalar_functions(spark, sf_dir):
+    name, size = F.col("p_name"), F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        label("p_brand", "p_size").alias("name"),
+        (1 + F.floor(size / 6)).alias("bucket"),
+        F.abs(size - 25).alias("apart"),
+        F.when(is_true(name.contains("a") & size.isin(1, 2, 3)), 1).otherwise(0).alias("hit"),
+        F.substring(name, 3, 4).alias("cut"),
+        F.when(is_true(name.endswith("d")), 1).otherwise(0).alias("ends"),
+        F.trim(F.concat(F.lit(" "), F.col("p_type"), F.lit(" "))).alias("clean"),
+    )

@@ -99,7 +99,7 @@ def target_flags(spark, sf_dir):
 
 
 @bind(
-    "g8_sample_bounds",
+    "g8a_g8b_sample_bounds",
     out(
         f"{FIX} SELECT subject, trial, min(time) AS first_time, max(time) AS last_time FROM fix GROUP BY ALL",
         "subject trial", "first_time last_time",
@@ -148,7 +148,7 @@ def last_fixation(spark, sf_dir):
 
 
 @bind(
-    "g10_trial_counts",
+    "g10a_g10b_trial_counts",
     out(
         f"""{FIX}, {_LAST} SELECT subject, count(*) FILTER (gap > 0) AS excluded, count(DISTINCT trial) AS total_trials
         FROM last_fix GROUP BY subject""",

@@ -42,7 +42,7 @@ _DOUBLES = " ".join(f"{n}_{m}" for m in ("6m", "9m", "16m") for n in ("position"
 
 
 @bind(
-    "c17_c18_trial_numbers",
+    "c17a_c17b_c17c_c18_trial_numbers",
     out(
         f"SELECT l_orderkey, trial, {_NUMBERS} FROM (SELECT l_orderkey, 1 + l_orderkey % 70 AS trial FROM lineitem)",
         "l_orderkey trial", _DOUBLES,
@@ -294,7 +294,7 @@ _LABELS = "position trial_recoded reactive trial_raw subtrial previous_position
 
 
 @bind(
-    "c6_c13_label_visits",
+    "c6_c7_c8_c9_c10_c11_c12_c13_label_visits",
     out(
         f"{VISIT}, {_V1} SELECT * FROM labelled", f"participant trial {_LABELS}", "entry_ms fix_ms",
         "eye aoi stimulus aoi_group trial_type",

@@ -369,7 +369,7 @@ def stop_signal_errors(spark, sf_dir):
 
 
 @bind(
-    "v2_pivot_task_type",
+    "v2_v9_pivot_task_type",
     out(
         f'{STOP} SELECT "Subject", {_stop_cells(("n_total_trials",), _ALL_TYPES)} FROM ({_STOP_ERRORS}) GROUP BY "Subject"',
         "Subject " + " ".join(f"n_total_trials_{t}" for t in _ALL_TYPES),

@@ -58,3 +58,8 @@ def strict_int(name: str, kind: str = "int") -> Column:
 def decimal_comma(column: Column) -> Column:
     """Text with a decimal comma to double."""
     return F.translate(F.trim(column), ",", ".").cast("double")
+
+
+def to_number(column: Column) -> Column:
+    """Number in a text; text that holds none is missing."""
+    return F.trim(column).try_cast("double")

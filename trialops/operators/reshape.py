@@ -71,6 +71,12 @@ def fill_grid(df: DataFrame, key: str, name: str, values: Sequence[int]) -> Data
     return df.unionByName(blank).groupBy(key, name).agg(*[F.max(c).alias(c) for c in measures])
 
 
+def first_row(df: DataFrame, keys: list[str], order: str, columns: Sequence[str]) -> DataFrame:
+    """The first row of each key by ``order``, from an aggregate instead of a sort."""
+    row = F.min(F.struct(order, *columns)).alias("row")
+    return df.filter(F.col(order).isNotNull()).groupBy(*keys).agg(row).select(*keys, "row.*")
+
+
 def select_like(df: DataFrame, fragment: str) -> DataFrame:
     """Columns whose name contains ``fragment``."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns if fragment in c])
