@@ -169,8 +169,8 @@ _FIRST = f"""{_LABELLED}, {_BOUNDS}, first_hit AS (
     out(f"{FIX}, {_FIRST} SELECT * FROM first_hit", "subject trial", "start_t saccade_latency"),
 )
 def first_correct(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
-    first = fixations.first_correct(rows, fixations.sample_bounds(rows))
+    rows = fix(spark, sf_dir)
+    first = fixations.first_correct(gap_overlap.target_hits(rows), fixations.sample_bounds(rows))
     return first.select("subject", "trial", "start_t", "saccade_latency")
 
 
@@ -178,8 +178,8 @@ _THRESHOLD = 5000.0
 
 
 def latencies(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
-    return fixations.first_correct(rows, fixations.sample_bounds(rows))
+    rows = fix(spark, sf_dir)
+    return fixations.first_correct(gap_overlap.target_hits(rows), fixations.sample_bounds(rows))
 
 
 _VALID = f"""SELECT l.subject, l.trial, f.saccade_latency FROM last_fix l LEFT JOIN first_hit f

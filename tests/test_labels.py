@@ -110,3 +110,15 @@ def test_stimulus_positions(spark):
     sixteen = column(spark, [1, 2, 3, 4, 62, 64, 65, 66, 68], lambda t: sequences.stimulus_position(t, "16m"), "int")
     assert six == [1, 2, 1, 2] and nine == [1, 1, 2, 1, 1, 2]
     assert sixteen == [1, 2, 1, 3, 2, 3, 1, None, None]
+
+
+def test_target_condition_equals_the_label(spark):
+    xs = [None, 0.0, 16.0, 17.0, 616.0, 700.0, 1303.0, 1902.0, 1920.0]
+    rows = [(side, x, y) for side in ("left", "right", None) for x in xs for y in (None, 0.0, 140.0, 500.0, 940.0)]
+    df = spark.createDataFrame(rows, "s string, x double, y double")
+    crossed = {"left": looks.Box((0, 1000), (0, 1080)), "right": looks.Box((600, 1920), (0, 1080)), "central": looks.Box((650, 800), (0, 1080))}
+    for areas in (looks.GAP_OVERLAP_AREAS, crossed):
+        label = looks.target_area(F.col("x"), F.col("y"), areas=areas)
+        flag = looks.target_flags(F.col("s"), label)["fix_target_correct"]
+        direct = looks.on_target(F.col("s"), F.col("x"), F.col("y"), areas=areas)
+        assert df.filter((flag == 1) != direct).count() == 0 and df.filter(direct).count() > 0

@@ -1,5 +1,6 @@
 """The physical plans: what is pushed down, read, shuffled and broadcast."""
 
+import re
 from pathlib import Path
 
 import pytest
@@ -63,6 +64,19 @@ def test_medians_shuffle_their_counts_once(spark, name, scans):
     assert text.count("FileScan") == scans and "ReusedExchange" in text
 
 
+def test_generated_code_is_small_enough_to_be_compiled(spark):
+    """The JVM does not compile methods beyond 8000 bytes."""
+    debug = spark.sparkContext._jvm.org.apache.spark.sql.execution.debug.__getattr__("package")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # stages are known before the run
+    try:
+        for name in TASKS:
+            text = debug.codegenString(queries()[name](spark, TABLES)._jdf.queryExecution().executedPlan())
+            sizes = [int(size) for size in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+            assert sizes and max(sizes) < 8000, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_aggregates_combine_before_the_shuffle(spark):
     for name in ("g1_mean_rt_by_sets", "g12_reduce_fixations", "g5_median_by_ranges"):
         assert "partial_" in plan(spark, name)

@@ -115,6 +115,17 @@ def target_flags(side: Column, area: Column, strict_parity: bool = False) -> dic
     }
 
 
+def on_target(side: Column, x: Column, y: Column, screen: Screen = Screen(), areas=GAP_OVERLAP_AREAS) -> Column:
+    """The fixation is in the area of the target side.
+
+    The same as the ``fix_target_correct`` flag of a labelled fixation, without the label: one
+    short condition that Spark can run as a filter on the scan.
+    """
+    left, right = areas["left"].contains(x, y), areas["right"].contains(x, y)
+    hit = ((side == "right") & right) | ((side == "left") & left & ~right)
+    return is_true(hit) & on_screen(x, y, screen) & ~areas["central"].contains(x, y)
+
+
 def trial_filter(gap: Column, tolerance_ms: float = 0.0) -> Column:
     """1 when the last fixation ends with the trial, 0 when it ends before, else NULL."""
     return F.when(gap > tolerance_ms, 0).when((gap >= 0) & (gap <= tolerance_ms), 1)

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialops.functions.looks import Screen, central_area, target_area, target_flags
+from trialops.functions.looks import Screen, central_area, on_target, target_area, target_flags
 from trialops.functions.nulls import ratio, strict_total
 from trialops.operators.detect import Detection, detect_fixations
 from trialops.operators.fixations import (
@@ -60,6 +60,12 @@ def label_target(fixations: DataFrame, screen: Screen = Screen(), strict_parity:
     return labelled.withColumns(target_flags(F.col("target_pos"), F.col("aoi"), strict_parity))
 
 
+def target_hits(fixations: DataFrame, screen: Screen = Screen()) -> DataFrame:
+    """Fixations on the target only, flagged as such."""
+    hits = fixations.filter(on_target(F.col("target_pos"), F.col("xpos"), F.col("ypos"), screen))
+    return hits.withColumn("fix_target_correct", F.lit(1))
+
+
 def reduce(
     central_period: Period,
     target_period: Period,
@@ -73,7 +79,7 @@ def reduce(
     ``parity_totals`` leaves the totals of subjects without excluded trials empty.
     """
     last = central(central_period, screen, tolerance_ms)
-    latencies = first_correct(label_target(target_period.fixations, screen), target_period.bounds, KEYS)
+    latencies = first_correct(target_hits(target_period.fixations, screen), target_period.bounds, KEYS)
     scores = latency_scores(last, latencies, threshold_ms, ["subject", "condition"], KEYS)
     return combine(scores, parity_totals)
 
