@@ -1,4 +1,3 @@
-import pytest
 
 from trialops.functions import screens
 from trialops.operators import intervals as iv
