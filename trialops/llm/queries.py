@@ -58,3 +58,21 @@ def hash_tree_shards(spark, sf_dir):
 
     tree = ht.even_tree()
     return ht.shard_documents(table(spark, sf_dir, "documents"), tree, [*tree, ht.Shard("region2", "rack0", 16)])
+
+
+@bind("op3_impact_topk", sql.TOP_K)
+def impact_top_k(spark, sf_dir):
+    from trialops.llm import impact_topk
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return impact_topk.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+@bind("op5_retrieval_packing")
+def retrieval_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from trialops.llm import packing
+
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
