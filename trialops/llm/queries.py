@@ -76,3 +76,10 @@ def retrieval_packing(spark, sf_dir):
 
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@bind("op6_decontamination", sql.DECONTAMINATION)
+def benchmark_decontamination(spark, sf_dir):
+    from trialops.llm import decontamination
+
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

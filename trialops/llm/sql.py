@@ -82,3 +82,35 @@ WITH vectors AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+_WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+
+DECONTAMINATION = f"""
+WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+item_grams AS (
+  SELECT item_id, len(w) AS m, least(5, len(w)) AS k,
+    list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda i: list_slice(w, i, i + least(5, len(w)) - 1)) AS grams
+  FROM item WHERE len(w) > 0
+), doc_grams AS (
+  SELECT doc_id, len(w) AS n, k, list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1)) AS grams
+  FROM doc, (SELECT DISTINCT k FROM item_grams) WHERE len(w) >= k
+), placed AS (SELECT doc_id, k, unnest(grams) AS g, generate_subscripts(grams, 1) - 1 AS p, n FROM doc_grams
+), listed AS (SELECT DISTINCT item_id, m, k, unnest(grams) AS g FROM item_grams
+), seeds AS (SELECT doc_id, item_id, m, k, p, n FROM placed JOIN listed USING (k, g)
+), starts AS (
+  SELECT DISTINCT doc_id, item_id, m, k,
+    unnest(range(least(greatest(p - (m - k), 0), greatest(n - m, 0)), least(p, greatest(n - m, 0)) + 1)) AS start
+  FROM seeds
+), window_bags AS (
+  SELECT s.doc_id, s.item_id, s.start, p.g, count(*) AS times, s.m - s.k + 1 AS size_i
+  FROM starts s JOIN placed p ON p.doc_id = s.doc_id AND p.k = s.k AND p.p BETWEEN s.start AND s.start + s.m - s.k
+  GROUP BY ALL
+), item_bags AS (SELECT item_id, g, count(*) AS times FROM (SELECT item_id, unnest(grams) AS g FROM item_grams) GROUP BY ALL
+), compared AS (
+  SELECT w.doc_id, w.item_id, w.start, sum(least(w.times, coalesce(i.times, 0))) AS shared, sum(w.times) + any_value(size_i) AS weight
+  FROM window_bags w LEFT JOIN item_bags i ON i.item_id = w.item_id AND i.g = w.g GROUP BY ALL
+), alike AS (SELECT *, shared / (weight - shared) AS similarity FROM compared WHERE 5 * shared >= 4 * (weight - shared))
+SELECT doc_id, item_id, count(*) AS n_windows, CAST(arg_min(start, (-similarity, start)) AS BIGINT) AS start, max(similarity) AS similarity
+FROM alike GROUP BY doc_id, item_id
+"""
