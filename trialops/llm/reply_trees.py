@@ -78,17 +78,15 @@ def best_paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
     while len(levels) < rounds and not state.where("up IS NOT NULL").isEmpty():
         levels.append(state.where("up IS NOT NULL").select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), "up"))
         above = state.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("depth").alias("_depth"))
-        joined = state.join(above, _same(state["tree"], above["_tree"]) & (state["up"] == above["_node"]), "left")
-        state = stored(
-            joined.select(
-                "tree",
-                "node",
-                F.col("_up").alias("up"),
-                (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"),
-                (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            ),
+        waiting = state.where("up IS NOT NULL")
+        reached = _up(waiting.withColumnRenamed("node", "_own").withColumnRenamed("up", "node"), above).select(
             "tree",
+            F.col("_own").alias("node"),
+            F.col("_up").alias("up"),
+            (F.col("score") + F.col("_score")).alias("score"),
+            (F.col("depth") + F.col("_depth")).alias("depth"),
         )
+        state = stored(state.where("up IS NULL").unionByName(reached), "tree")
     parents = nodes.select(F.col("tree").alias("_tree"), F.col("parent").alias("_parent")).where("_parent IS NOT NULL").distinct()
     ended = state.where("up IS NULL")
     leaves = ended.join(parents, _same(ended["tree"], parents["_tree"]) & (ended["node"] == parents["_parent"]), "left_anti")
