@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,5 +30,7 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that no one refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the driver's objects first, then what only they referred to
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -97,3 +97,27 @@ def repeated_byte_windows(spark, sf_dir):
         F.size("_spans").cast("long").alias("n_spans"),
         F.sha2("_kept", 256).alias("kept_sha256"),
     )
+
+
+def _classified(documents: DataFrame, held_out, threshold: float) -> DataFrame:
+    return documents.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+@bind("op7_toxicity")
+def toxicity_scores(spark, sf_dir):
+    from trialops.llm import toxicity
+    from trialops.llm.labelled import held_out
+
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(documents, labels, held_out(3, 1))
+    return _classified(toxicity.scored(documents, model), held_out(3, 1), toxicity.THRESHOLD)
+
+
+@bind("op9_quality")
+def quality_scores(spark, sf_dir):
+    from trialops.llm import quality
+    from trialops.llm.labelled import held_out
+
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(documents, labels, held_out(5, 0))
+    return _classified(quality.scored(documents, model), held_out(5, 0), quality.THRESHOLD)
