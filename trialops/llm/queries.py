@@ -121,3 +121,10 @@ def quality_scores(spark, sf_dir):
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(documents, labels, held_out(5, 0))
     return _classified(quality.scored(documents, model), held_out(5, 0), quality.THRESHOLD)
+
+
+@bind("op8_jaccard_join", sql.JACCARD)
+def ngram_jaccard_join(spark, sf_dir):
+    from trialops.llm import jaccard_join
+
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))

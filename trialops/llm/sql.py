@@ -114,3 +114,22 @@ item_grams AS (
 SELECT doc_id, item_id, count(*) AS n_windows, CAST(arg_min(start, (-similarity, start)) AS BIGINT) AS start, max(similarity) AS similarity
 FROM alike GROUP BY doc_id, item_id
 """
+
+JACCARD = """
+WITH RECURSIVE doc AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: list_slice(w, i, i + 3))) END AS s FROM doc
+), postings AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM postings a JOIN postings b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles,
+  least(doc_id, coalesce((SELECT min(y) FROM reach WHERE reach.x = sets.doc_id), doc_id)) AS component_id
+FROM sets
+"""
