@@ -112,7 +112,7 @@ def _parts(items: DataFrame) -> list[DataFrame]:
             cut = F.pmod(F.xxhash64("item_id", "item_grams"), F.lit(2 * cuts))
             parts += [items.where((F.col("m") == m) & (cut == c)) for c in range(2 * cuts)]
             continue
-        if group and (len(group) >= PART_SIZES or n + count > PART_ITEMS or g + shingles > PART_SHINGLES or m <= SHINGLE):
+        if group and (len(group) >= PART_SIZES or n + count > PART_ITEMS or g + shingles > PART_SHINGLES or group[-1] < SHINGLE):
             parts.append(items.where(F.col("m").isin(group)))
             group, n, g = [], 0, 0
         group, n, g = [*group, m], n + count, g + shingles
