@@ -107,8 +107,8 @@ def drop_central(df: DataFrame, area: str = "aoi") -> DataFrame:
 
 
 def text_trial_number(column: Column) -> Column:
-    """12 from ``Trial012``."""
-    return F.substring(column, 6, 10).cast("int")
+    """12 from ``Trial012``; a number that is no int fails."""
+    return F.substr(column, F.lit(6)).cast("int")
 
 
 def drop_practice(df: DataFrame, trial: str = "trial_recoded", last_practice: int = 12) -> DataFrame:
