@@ -68,3 +68,20 @@ def test_score_files(spark, tmp_path, decimal, text):
     assert (back.k, back["m.x"], back.n, back.toys) == ("1", text, None, "a b")
     sinks.write_table(df.select("k"), str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 1
+
+
+def test_missing_markers(spark):
+    from trialops.sources.delimited import typed
+
+    raw = spark.createDataFrame([("a", "1.5", "NA"), ("b", " NaN ", "left"), ("c", "None", "n/a"), ("d", "", None)], "file string, t string, side string")
+    rows = typed(raw, {"t": ("time", "double"), "side": ("side", "string")}).orderBy("file").collect()
+    assert [(r.time, r.side) for r in rows] == [(1.5, None), (None, "left"), (None, None), (None, None)]
+    comma = typed(raw.replace("1.5", "1,5"), {"t": ("time", "double")}, comma=True).orderBy("file").collect()
+    assert [r.time for r in comma] == [1.5, None, None, None]
+
+
+def test_other_texts_in_number_columns_fail(spark):
+    from trialops.sources.delimited import typed
+
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        typed(spark.createDataFrame([("a", "x1")], "file string, t string"), {"t": ("time", "double")}).collect()

@@ -17,6 +17,11 @@ from trialops.sources import schemas
 
 Columns = dict[str, tuple[str, str]]
 REJECTED = "_rejected_line"
+#: Texts that mean a missing value in any column of a recording.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+    "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 
 
 def _text_schema(spark: SparkSession, path, **options) -> StructType:
@@ -59,12 +64,16 @@ def _outside_quotes(sep: str) -> str:
 
 
 def typed(rows: DataFrame, columns: Columns, comma: bool = False) -> DataFrame:
-    """Named and typed columns; with ``comma`` numbers have a decimal comma."""
+    """Named and typed columns; with ``comma`` numbers have a decimal comma.
+
+    The texts of ``MISSING`` become NULL; any other text that is no number fails in a number column.
+    """
 
     def convert(source: str, name: str, kind: str) -> Column:
         text = F.col(f"`{source}`")
         if kind == "string":
-            return text.alias(name)
+            return F.when(~text.isin(*MISSING), text).alias(name)
+        text = F.when(~F.trim(text).isin(*MISSING), text)
         number = decimal_comma(text) if comma else F.trim(text).cast("double")
         return number.cast(kind).alias(name)
 
