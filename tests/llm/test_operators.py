@@ -84,6 +84,20 @@ def test_jaccard_join(spark, documents, empty):
     assert sorted(r["doc_id"] for r in jj.one_per_group(documents.where("doc_id < 5"), 5, 80).collect()) == [1, 4]
 
 
+def test_signatures_never_part_similar_sets():
+    from trialops.llm import jaccard_join as jj
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 900, 2040, 4090, 9000):
+        bag = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for lost in {0, 1, n // 20}:
+            other = np.union1d(bag[lost:], rng.integers(0, 2**64, n // 20, dtype=np.uint64))
+            first, second = jj._folds(jj._signature(bag)), jj._folds(jj._signature(other))
+            differ = len(np.setxor1d(bag, other))
+            for width in first.keys() & second.keys():
+                assert np.bitwise_count(first[width] ^ second[width]).sum() <= differ
+
+
 def test_packing(documents, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
