@@ -458,6 +458,29 @@ def times_with_errors(spark, sf_dir):
     return medians.join(rows.groupBy(*keys).agg(F.count_if(F.col("acc") == 0).alias("errors")), keys)
 
 
+_SHARED = {
+    "click": "cue = 'click'", "error": "cue = 'error'", "cue_neutral": "cue = 'neutral'",
+    "congruent": "flanker = 'congruent'", "flanker_neutral": "flanker = 'neutral'",
+    "neutral_neutral": "flanker = 'neutral' AND cue = 'neutral'", "congruent_click": "flanker = 'congruent' AND cue = 'click'",
+}
+
+
+@bind(
+    "j1_joined_tables",
+    out(
+        f"""{TRIAL}, named AS (SELECT subject, rt, acc, flanker, CASE WHEN cue = 'view' THEN 'neutral' ELSE cue END AS cue FROM trial)
+        SELECT subject, {', '.join(f'avg(rt) FILTER (acc = 1 AND {where}) AS "Target_RT_{name}"' for name, where in _SHARED.items())}
+        FROM named GROUP BY subject HAVING count(rt) FILTER (acc = 1) > 0""",
+        "subject", " ".join(f"Target_RT_{name}" for name in _SHARED),
+    ),
+)
+def joined_tables(spark, sf_dir):
+    """Mean times by cue, by flanker and by both, side by side; one cue is named like a flanker."""
+    rows = trial_raw(spark, sf_dir).withColumn("cue", F.when(F.col("cue") == "view", "neutral").otherwise(F.col("cue")))
+    wide = attention_network.reduce(rows, [*CUES[:-1], "neutral"], FLANKERS).subject
+    return wide.select("subject", *[f"Target_RT_{name}" for name in _SHARED])
+
+
 @bind(
     "j1_condition_tables",
     out(

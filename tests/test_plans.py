@@ -91,3 +91,7 @@ def test_tasks_broadcast_only_by_checked_size(spark):
             assert "Broadcast" not in plan(spark, name)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_file_facts_do_not_sort_samples(spark):
+    assert "SortAggregate" not in plan(spark, "g13_file_facts")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trialops.operators import scores
 from trialops.operators.medians import grouped_median, value_range
-from trialops.operators.reshape import fill_grid, label, observed_values, pivot_wide, select_like
+from trialops.operators.reshape import fill_grid, label, pivot_wide, select_like
 from trialops.plans import attention_network, stop_signal, touch
 
 SCHEMA = "subject int, block_number int, trial string, rt int, acc int, cue string, flanker string"
@@ -165,6 +165,19 @@ def test_labels_grid_and_column_picks(spark, rows):
     assert rows(df.select(label("a", "b"))) == [(None,), ("x_y",)]
     counts = spark.createDataFrame([(1, 2, 7)], "k int, g int, n int")
     assert {tuple(r) for r in fill_grid(counts, "k", "g", (1, 2, 3)).collect()} == {(1, 1, None), (1, 2, 7), (1, 3, None)}
-    assert observed_values(df, "a") == ["x"]
     dotted = spark.createDataFrame([(1, 2)], "`Toy.one` int, other int")
     assert select_like(dotted, "Toy").columns == ["Toy.one"]
+
+
+def test_a_cue_named_like_a_flanker(spark):
+    data = [(1, 1, "a", 400, 1, "neutral", "congruent"), (1, 1, "b", 600, 1, "none", "neutral"), (1, 1, "c", 900, 1, "neutral", "neutral")]
+    trials = spark.createDataFrame(data, "subject int, block_number int, trial string, rt int, acc int, cue string, flanker string")
+    result = attention_network.reduce(trials, ["none", "neutral"], ["congruent", "incongruent", "neutral"])
+    row = result.subject.first()
+    assert (row.Target_RT_cue_neutral, row.Target_RT_flanker_neutral, row.Target_RT_neutral_neutral) == (650, 750, 900)
+    assert result.block.first().Target_RT_block1_flanker_neutral == 750
+
+
+def test_names_that_cannot_be_told_apart_are_rejected(spark, trials):
+    with pytest.raises(ValueError, match="one name"):
+        attention_network.reduce(trials, ["c", "b_c"], ["congruent", "incongruent", "a_b", "a"])

@@ -85,3 +85,20 @@ def test_other_texts_in_number_columns_fail(spark):
 
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         typed(spark.createDataFrame([("a", "x1")], "file string, t string"), {"t": ("time", "double")}).collect()
+
+
+def test_files_of_one_name_in_two_folders_are_two_recordings(spark, tmp_path):
+    paths = [write(tmp_path / f"d {i}", "p1.csv", HEADER + f"{i},Alert,300,1,d\n") for i in (1, 2)]
+    found = delimited.read_touch(spark, paths).select("file", delimited.subject_from_file(1, 2).alias("s"))
+    assert found.distinct().count() == 2 and {r.s for r in found.collect()} == {"p1"}
+
+
+def test_numbers_of_score_files_have_no_exponent(spark):
+    values = [12345678.5, -1e-4, 1.5e22, 1e7, -2.25e-9, 0.0, 3.0, 123456789012.25, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i")
+    texts = [r.v for r in sinks.as_text(df, ".", "never").collect()]
+    assert texts == [
+        "12345678.5", "-0.0001", "15000000000000000000000.0", "10000000.0", "-0.00000000225", "0.0", "3.0",
+        "123456789012.25", "never", "-never", None, None,
+    ]
+    assert [r.v for r in sinks.as_text(df.limit(2), ",").collect()] == ["12345678,5", "-0,0001"]

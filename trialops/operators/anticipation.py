@@ -15,11 +15,16 @@ FACTS = ("position", "anticipations_count_variable", "trial_max_completed")
 def file_facts(
     gaze: DataFrame, keys=FILE, side: str = "target_side", count: str = "anticipations", trial: str = "trial"
 ) -> DataFrame:
-    """Target side, recorded anticipations and last trial of each file."""
-    return gaze.groupBy(*keys).agg(
-        F.max(side).alias("position"),
-        F.max(count).alias("anticipations_count_variable"),
-        F.max(trial).alias("trial_max_completed"),
+    """Target side, recorded anticipations and last trial of each file.
+
+    Samples are first counted per side, in a hash table: the greatest of a text would be found by
+    sorting them.  A file has few sides.
+    """
+    sides = gaze.groupBy(*keys, side).agg(F.max(count).alias("count"), F.max(trial).alias("trial"))
+    return sides.groupBy(*keys).agg(
+        F.array_max(F.collect_set(side)).alias("position"),
+        F.max("count").alias("anticipations_count_variable"),
+        F.max("trial").alias("trial_max_completed"),
     )
 
 

@@ -13,22 +13,29 @@ def pivot_wide(
     keys: list[str],
     on: Column | str,
     measures: Sequence[str] | Mapping[str, str],
-    values: Sequence,
+    values: Sequence | Mapping,
     extra: Sequence[Column] = (),
 ) -> DataFrame:
     """One row per key, one column ``<measure>_<value>`` per measure and listed value.
 
     ``df`` has at most one row per key and value, so a key gathers at most ``len(values)`` cells.
-    ``measures`` may map a column to the name it gets.  Rows whose measures are all missing do
+    ``measures`` may map a column to the name it gets, and ``values`` a value to the text that names
+    it; names must differ.  Rows whose measures are all missing do
     not create a key.  ``extra`` aggregates over all rows of a key are added as they are.
     """
     names = dict(measures) if isinstance(measures, Mapping) else {m: m for m in measures}
+    values = dict(values) if isinstance(values, Mapping) else {v: v for v in values}
+    columns = [*keys, *(f"{name}_{text}" for name in names.values() for text in values.values())]
+    if twice := sorted({c for c in columns if columns.count(c) > 1}):
+        raise ValueError(f"columns of one name: {twice}")
     on = F.col(on) if isinstance(on, str) else on
     present = df.filter(" OR ".join(f"`{m}` IS NOT NULL" for m in names))
     cell = F.when(on.isin(list(values)), F.struct(on.alias("value"), F.struct(*names).alias("measures")))
     cells = present.groupBy(*keys).agg(F.map_from_entries(F.collect_list(cell)).alias("cells"), *extra)
     wide = [
-        f"cells[{_literal(value)}].`{measure}` AS `{name}_{value}`" for measure, name in names.items() for value in values
+        f"cells[{_literal(value)}].`{measure}` AS `{name}_{text}`"
+        for measure, name in names.items()
+        for value, text in values.items()
     ]
     others = [c for c in cells.columns if c not in keys and c != "cells"]
     return cells.selectExpr(*[f"`{c}`" for c in keys], *wide, *[f"`{c}`" for c in others])
@@ -49,12 +56,6 @@ def label(*parts: str) -> Column:
     return F.when(complete, F.concat_ws("_", *[F.col(p).cast("string") for p in parts]))
 
 
-def observed_values(df: DataFrame, column: str) -> list:
-    """Values of a condition column, for callers that do not list them (one small job)."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).collect()
-    return [row[0] for row in rows]
-
-
 def dense_grid(df: DataFrame, key: str, name: str, values: Sequence[int]) -> DataFrame:
     """Every key of ``df`` with every listed value."""
     listed = F.array(*[F.lit(v) for v in values])

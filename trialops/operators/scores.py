@@ -54,12 +54,14 @@ def scores_by_sets(
     rt: str = "rt",
     acc: str = "acc",
     levels: Sequence[str] = ("subject", "block"),
+    parts: bool = False,
 ) -> DataFrame:
     """Mean RT of correct trials and error counts for cue, flanker and flanker x cue,
     per subject (``level`` 'subject') and per subject and block ('block').
 
     ``by`` names the grouping and ``condition`` the joined condition; ``target_rt`` is missing
-    where no trial is correct.  Trials without a named block count per subject only.
+    where no trial is correct.  Trials without a named block count per subject only.  With
+    ``parts`` the flanker and the cue that a condition is joined of follow.
     """
     cells = trial_sums(df, [subject, block, cue, flanker], rt, acc)
     sums = [F.sum(m).alias(m) for m in ("rt_sum", "rt_count", *ERROR_MEASURES)]
@@ -91,6 +93,7 @@ def scores_by_sets(
         condition.alias("condition"),
         F.try_divide("rt_sum", "rt_count").alias("target_rt"),
         *ERROR_MEASURES,
+        *([f, c] if parts else []),
     )
 
 

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialops.functions.nulls import strict_total
 from trialops.operators.clean import complete_trials, drop_anticipatory, name_blocks
-from trialops.operators.reshape import label, pivot_wide
+from trialops.operators.reshape import pivot_wide
 from trialops.operators.scores import ERROR_MEASURES, scores_by_sets
 
 # Conditions and blocks the totals are made of, and the score names.
 FLANKERS = ("congruent", "incongruent")
 BLOCKS = ("block1", "block2", "block3", "block4")
 MEASURES = {"target_rt": "Target_RT", **{m: m for m in ERROR_MEASURES}}
+#: Stands between the parts of a condition; no name of a condition holds it.
+BETWEEN = "\x1f"
+Condition = tuple[str, ...]
 
 
 class Scores(NamedTuple):
@@ -41,25 +45,37 @@ def reduce(
 ) -> Scores:
     """Wide scores of ``subject, block_number, trial, rt, acc, cue, flanker`` trials.
 
-    Subjects need a correct trial, and for the block scores one in a named block.
+    Subjects need a correct trial, and for the block scores one in a named block.  Columns are named
+    by the condition; where a cue and a flanker share a name, by ``cue_`` or ``flanker_`` and it.
     """
-    conditions = [*cues, *flankers, *[f"{f}_{c}" for f in flankers for c in cues]]
+    names = condition_names(cues, flankers)
+    totals = [names["flanker", f] for f in totals_of]
     rows = clean(trials)
     return Scores(
-        _subject_scores(scores_by_sets(rows, levels=["subject"]), conditions, totals_of),
-        _block_scores(scores_by_sets(rows, levels=["block"]), conditions, blocks, totals_of),
+        _subject_scores(scores_by_sets(rows, levels=["subject"], parts=True), names, totals),
+        _block_scores(scores_by_sets(rows, levels=["block"], parts=True), names, blocks, totals),
     )
 
 
-def _wide(long: DataFrame, on: Column, values: list[str]) -> DataFrame:
-    """One row per subject that has a correct trial at that level."""
-    rows = long.withColumn("named", on)
+def condition_names(cues: Sequence[str], flankers: Sequence[str]) -> dict[Condition, str]:
+    """The names of the cues, the flankers and their combinations."""
+    combined = [("flanker_cue", f, c) for f in flankers for c in cues]
+    conditions = [*[("cue", c) for c in cues], *[("flanker", f) for f in flankers], *combined]
+    often = Counter("_".join(parts) for _, *parts in conditions)
+    return {c: "_".join(c[1:]) if often["_".join(c[1:])] == 1 else "_".join(c) for c in conditions}
+
+
+def _wide(long: DataFrame, names: dict[Condition, str]) -> DataFrame:
+    """One row per subject that has a correct trial at that level; ``names`` are by grouping, block
+    if any, flanker and cue."""
+    rows = long.withColumn("named", F.concat_ws(BETWEEN, "by", "block", "flanker", "cue"))
+    values = {BETWEEN.join(condition): name for condition, name in names.items()}
     means = F.count("target_rt").alias("means")
     return pivot_wide(rows, ["subject"], "named", MEASURES, values, extra=[means]).filter("means > 0").drop("means")
 
 
-def _subject_scores(long: DataFrame, conditions: list[str], totals_of: Sequence[str]) -> DataFrame:
-    wide = _wide(long, F.col("condition"), conditions)
+def _subject_scores(long: DataFrame, names: dict[Condition, str], totals_of: Sequence[str]) -> DataFrame:
+    wide = _wide(long, names)
     return wide.withColumns(
         {
             name: strict_total([F.col(f"{measure}_{c}") for c in totals_of])
@@ -73,10 +89,9 @@ def _subject_scores(long: DataFrame, conditions: list[str], totals_of: Sequence[
 
 
 def _block_scores(
-    long: DataFrame, conditions: list[str], blocks: Sequence[str], totals_of: Sequence[str]
+    long: DataFrame, names: dict[Condition, str], blocks: Sequence[str], totals_of: Sequence[str]
 ) -> DataFrame:
-    values = [f"{b}_{c}" for b in blocks for c in conditions]
-    wide = _wide(long, label("block", "condition"), values)
+    wide = _wide(long, {(c[0], b, *c[1:]): f"{b}_{name}" for b in blocks for c, name in names.items()})
     totals = []
     for block in blocks:
         commission = [f"coalesce(`n_comission_errors_{block}_{c}`, 0)" for c in totals_of]

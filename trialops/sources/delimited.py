@@ -31,7 +31,8 @@ def _text_schema(spark: SparkSession, path, **options) -> StructType:
 
 
 def read_text_columns(spark: SparkSession, path, sep: str, glob: str, skip_long: bool = False, **options) -> DataFrame:
-    """All columns as text, plus ``file``, the name of the file.
+    """All columns as text, plus ``file``, the path of the file: files of one name in two folders
+    are two recordings.
 
     With ``skip_long`` lines with more fields than the header are dropped; short lines are kept
     and padded in any case.
@@ -55,7 +56,8 @@ def read_text_columns(spark: SparkSession, path, sep: str, glob: str, skip_long:
         # always true, but Spark does not read the rejected line without a column beside it
         beside = F.length(F.concat_ws("", F.col(f"`{schema.names[0]}`"))) >= 0
         rows = rows.filter((F.col(REJECTED).isNull() | (fields <= len(schema) - 1)) & beside).drop(REJECTED)
-    return rows.withColumn("file", F.col("_metadata.file_name"))
+    folder = F.regexp_extract("_metadata.file_path", "^(.*/)", 1)
+    return rows.withColumn("file", F.concat(folder, "_metadata.file_name"))
 
 
 def _outside_quotes(sep: str) -> str:
@@ -81,7 +83,8 @@ def typed(rows: DataFrame, columns: Columns, comma: bool = False) -> DataFrame:
 
 
 def subject_from_file(start: int, length: int, file: str = "file") -> Column:
-    return F.substring(file, start, length)
+    """Letters of the name of a file that is given by name or path."""
+    return F.substring(F.substring_index(file, "/", -1), start, length)
 
 
 def read_attention(spark: SparkSession, path) -> DataFrame:

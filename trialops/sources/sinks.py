@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 
-def as_text(df: DataFrame, decimal: str) -> DataFrame:
-    """Doubles with the wanted decimal sign, arrays joined by blanks."""
+EXPONENT = r"^(-?)(\d+)\.(\d+)E(-?\d+)$"
+
+
+def plain_number(column: Column, infinite: str = "inf") -> Column:
+    """The shortest digits of a number without an exponent; NaN is missing, ``infinite`` names +inf."""
+    text = column.cast("string")
+    sign, lead, rest = (F.regexp_extract(text, EXPONENT, i) for i in (1, 2, 3))
+    power = F.regexp_extract(text, EXPONENT, 4).try_cast("int")
+    digits = F.concat(lead, F.when(rest == "0", "").otherwise(rest))
+    # the point lies ``power`` places behind the first digit
+    padded = F.rpad(digits, F.greatest(power + 2, F.length(digits)), "0")
+    large = F.concat(F.substr(padded, F.lit(1), power + 1), F.lit("."), F.substr(padded, power + 2))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    return (
+        F.when(F.isnan(column), None)
+        .when(F.abs(column) == float("inf"), F.concat(F.when(column < 0, "-").otherwise(""), F.lit(infinite)))
+        .when(power >= 0, F.concat(sign, large))
+        .when(power < 0, F.concat(sign, small))
+        .otherwise(text)
+    )
+
+
+def as_text(df: DataFrame, decimal: str, infinite: str = "inf") -> DataFrame:
+    """Fractions as plain numbers with the wanted decimal sign, arrays joined by blanks."""
     columns = []
     for field in df.schema:
         column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (DoubleType, FloatType)) and decimal != ".":
-            column = F.translate(column.cast("string"), ".", decimal)
+        if isinstance(field.dataType, (DoubleType, FloatType)):
+            column = F.translate(plain_number(column, infinite), ".", decimal)
         elif isinstance(field.dataType, ArrayType):
             column = F.array_join(column, " ")
         columns.append(column.alias(field.name))
     return df.select(*columns)
 
 
-def write_scores(df: DataFrame, path: str, decimal: str = ",", sep: str = ";") -> None:
+def write_scores(df: DataFrame, path: str, decimal: str = ",", sep: str = ";", infinite: str = "inf") -> None:
     """Delimited files with a header; the folder is made when it is not there."""
-    as_text(df, decimal).write.mode("overwrite").options(sep=sep, header=True).csv(path)
+    as_text(df, decimal, infinite).write.mode("overwrite").options(sep=sep, header=True).csv(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
