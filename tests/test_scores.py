@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trialops.operators import scores
-from trialops.operators.medians import grouped_median, value_range
+from trialops.operators.medians import FINE_RANGES_PER_OCTAVE, grouped_median, value_range
 from trialops.operators.reshape import fill_grid, label, pivot_wide, select_like
 from trialops.plans import attention_network, stop_signal, touch
 
@@ -181,3 +181,13 @@ def test_a_cue_named_like_a_flanker(spark):
 def test_names_that_cannot_be_told_apart_are_rejected(spark, trials):
     with pytest.raises(ValueError, match="one name"):
         attention_network.reduce(trials, ["c", "b_c"], ["congruent", "incongruent", "a_b", "a"])
+
+
+def test_medians_of_times_since_an_epoch(spark):
+    """A day in ms: one range, but no fine range holds more than a thousandth of the values."""
+    day = spark.range(0, 86_400_000, 4321).selectExpr("1 AS k", "1700000000000 + id AS whole", "1.7e12 + id / 3 AS part")
+    values = [1_700_000_000_000 + i for i in range(0, 86_400_000, 4321)]
+    assert grouped_median(day, ["k"], "whole", "m").first().m == statistics.median(values)
+    assert grouped_median(day, ["k"], "part", "m").first().m == pytest.approx(1.7e12 + statistics.median(range(0, 86_400_000, 4321)) / 3, abs=1e-3)
+    fine = day.groupBy(value_range(F.col("whole").cast("double"), FINE_RANGES_PER_OCTAVE)).count().agg(F.max("count")).first()[0]
+    assert fine <= len(values) / 1000

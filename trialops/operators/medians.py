@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+#: Whole numbers whose distinct values are few, such as times in ms; long ones may be any number.
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType)
 RANGES_PER_OCTAVE = 1024
+FINE_RANGES_PER_OCTAVE = 2**25
 
 
 def weighted_median(value: Column, weight: Column) -> Column:
@@ -21,8 +23,8 @@ def weighted_median(value: Column, weight: Column) -> Column:
     return F.percentile(value, 0.5, weight)
 
 
-def is_integral(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, INTEGRAL)
+def is_whole(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, WHOLE)
 
 
 def count_copies(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -42,28 +44,30 @@ def grouped_median(
     Rows without a key belong to no group.
     """
     counted = count_copies(df.filter(reduce(and_, [F.col(k).isNotNull() for k in keys])), keys, value)
-    if is_integral(df, value):
+    if is_whole(df, value):
         totals = [F.sum(c).alias(n) for n, c in (sums or {}).items()]
         return counted.groupBy(*keys).agg(weighted_median(F.col(value), F.col("copies")).alias(name), *totals)
     return median_of_counts(counted, keys, value, name, sums)
 
 
-def value_range(value: Column) -> Column:
+def value_range(value: Column, per_octave: int = RANGES_PER_OCTAVE) -> Column:
     """Number of a narrow range of values; larger values never have a smaller number.
 
     Ranges are a fraction of a percent wide and finest around 0, so any double falls in one of
     at most half a million ranges, whatever its unit.
     """
-    return F.signum(value) * F.floor(RANGES_PER_OCTAVE * F.log2(1 + 1000 * F.abs(value)))
+    return F.signum(value) * F.floor(per_octave * F.log2(1 + 1000 * F.abs(value)))
 
 
 def median_of_counts(
     counted: DataFrame, keys: list[str], value: str, name: str, sums: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Exact medians of fractional values from their ``copies``.
+    """Exact medians of any values from their ``copies``.
 
-    Fractional values can be as many as there are rows, so a group is never ordered as a whole:
-    the ranges of its values are counted, and only the range with the middle ranks is ordered.
+    Values can be as many as there are rows, so a group is never ordered as a whole: the ranges of
+    its values are counted, then the fine ranges within the one that holds the middle ranks, and
+    only the fine range that holds them is ordered.  Values that lie close together far from zero,
+    such as times since an epoch, share a range but not a fine one.
     """
     sums = sums or {}
     # stated here for both uses of the counts, else later joins add it to one of them only
@@ -73,30 +77,51 @@ def median_of_counts(
     ranges = ranged.groupBy(*keys, "range").agg(inside.alias("inside"), *[F.sum(c).alias(n) for n, c in sums.items()])
     group = Window.partitionBy(*keys)
     upto = group.orderBy(F.col("range").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    holds = "total = 0 OR (before < high_rank AND before + inside >= low_rank)"
     middle = (
         ranges.withColumns(
             {
-                "upto": F.sum("inside").over(upto),
+                "before": F.sum("inside").over(upto) - F.col("inside"),
                 "total": F.sum("inside").over(group),
                 **{n: F.sum(n).over(group) for n in sums},
             }
         )
-        .withColumn("before", F.col("upto") - F.col("inside"))
         .withColumns({"low_rank": F.expr("(total + 1) div 2"), "high_rank": F.expr("total div 2 + 1")})
         # a group without values keeps its one row, for the totals
-        .filter("total = 0 OR (before < high_rank AND upto >= low_rank)")
-        .drop("inside", "upto", "total")
+        .filter(holds)
+        .drop("inside")
     )
-    in_range = Window.partitionBy(*keys, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     # null-safe matching: no filter reaches the counts from this side only, so that Spark runs
     # the shuffle of the counts once for both uses
-    same = reduce(and_, [F.col(f"m.{c}").eqNullSafe(F.col(f"v.{c}")) for c in [*keys, "range"]])
-    ordered = (
+    fine = value_range(F.nanvl(value, F.lit(None).cast("double")), FINE_RANGES_PER_OCTAVE)
+    near = (
         middle.alias("m")
-        .join(ranged.alias("v"), same, "left")
+        .join(ranged.alias("v"), _same(keys, "range"), "left")
         .select("m.*", f"v.{value}", "v.copies")
-        .withColumn("last_rank", F.col("before") + F.sum("copies").over(in_range))
+        .withColumn("fine", fine)
     )
-    holds = "{} > last_rank - copies AND {} <= last_rank"
-    low, high = (F.max(F.when(F.expr(holds.format(r, r)), F.col(value))) for r in ("low_rank", "high_rank"))
+    about = [*sums, "before", "total", "low_rank", "high_rank"]
+    in_range = Window.partitionBy(*keys, "range").orderBy(F.col("fine").asc_nulls_first())
+    finer = (
+        near.groupBy(*keys, "range", "fine")
+        .agg(F.sum(F.when(F.col("fine").isNotNull(), F.col("copies"))).alias("inside"), *[F.max(c).alias(c) for c in about])
+        .withColumn("inside", F.coalesce("inside", F.lit(0)))
+        .withColumn("upto", F.sum("inside").over(in_range.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("before", F.col("before") + F.col("upto") - F.col("inside"))
+        .filter(holds)
+        .drop("inside", "upto", "total")
+    )
+    in_fine = Window.partitionBy(*keys, "range", "fine").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ordered = (
+        finer.alias("m")
+        .join(near.select(*keys, "range", "fine", value, "copies").alias("v"), _same(keys, "range", "fine"), "left")
+        .select("m.*", f"v.{value}", "v.copies")
+        .withColumn("last_rank", F.col("before") + F.sum("copies").over(in_fine))
+    )
+    rank = "{} > last_rank - copies AND {} <= last_rank"
+    low, high = (F.max(F.when(F.expr(rank.format(r, r)), F.col(value))) for r in ("low_rank", "high_rank"))
     return ordered.groupBy(*keys).agg(((low + high) / 2).alias(name), *[F.max(n).alias(n) for n in sums])
+
+
+def _same(keys: list[str], *others: str) -> Column:
+    return reduce(and_, [F.col(f"m.{c}").eqNullSafe(F.col(f"v.{c}")) for c in [*keys, *others]])
