@@ -117,6 +117,50 @@ def test_packing(documents, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_searches_all_documents(spark):
+    import public_tokenizers
+
+    from trialops.llm import packing
+    from trialops.llm.tokens import encoder
+
+    rng, path = np.random.default_rng(8), public_tokenizers.path("word_bpe_49k.json")
+    encode = encoder(path)
+    single = sorted(w for w in encode.tokenizer.get_vocab() if w.isascii() and w.isalpha() and w.islower() and len(encode.word(w)) == encode.dtype.itemsize)
+    single = list(rng.permutation(single))
+    common, rows = single[3000:3040], []
+    for pair in range(300):  # two documents share rare words only, and fill a window together
+        own = single[10 * pair : 10 * pair + 10]
+        for side in (0, 1):
+            rows.append((2 * pair + side, " ".join([*own, *rng.choice(common, 600)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    tokens = packing.tokenized(docs, path).toPandas()
+    window = int(tokens["n_tokens"].max()) + 200
+    for shard_docs, least in ((packing.SHARD_DOCS, 0.95), (60, 0.6)):
+        pieces = packing.pack(docs, path, window, shard_docs=shard_docs).toPandas()
+        assert pieces.groupby("doc_id")["length"].sum().to_dict() == tokens.set_index("doc_id")["n_tokens"].to_dict()
+        together = {(a // 2) for _, own in pieces.groupby("sequence_id") for a in set(own.doc_id) if a ^ 1 in set(own.doc_id)}
+        assert len(together) >= least * 300, (shard_docs, len(together))
+
+
+def test_packing_search_is_exact():
+    from trialops.llm import packing
+
+    rng, vocabulary = np.random.default_rng(4), 500
+    docs = [np.minimum(rng.zipf(1.3, int(rng.integers(1, 80))), vocabulary) - 1 for _ in range(120)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=vocabulary)
+    idf = np.log1p((120 - df + 0.5) / (df + 0.5))
+    want = packing.Index(docs[30:], idf, 40.0)
+    a, b, s = packing.best(docs[:30], docs[30:], idf, df, 120, 40.0, np.arange(90) * 7919, 5)
+    for q in range(30):
+        weights = {int(t): w for t, w in zip(range(vocabulary), idf, strict=True)}
+        scores = []
+        for d in docs[30:]:
+            tf = Counter(d.tolist())
+            scores.append(sum(weights[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / 40.0)) for t in set(docs[q].tolist()) & tf.keys()))
+        assert want.size == 90 and np.allclose(sorted(s[a == q]), sorted(scores)[-5:], rtol=1e-4)
+        assert np.allclose(np.array(scores)[b[a == q]], s[a == q], rtol=1e-4)
+
+
 @pytest.mark.parametrize("text", ["Σίσυφος ΣΣ", "<|endoftext|> a<|startoftext|>b", "don't... 12 ½ ",  "x" * 5000, "a b\x1cc", "é İstanbul ﬁ", ""])
 def test_tokens_of_odd_texts(text):
     import public_tokenizers
