@@ -271,6 +271,19 @@ def test_classifiers_without_labels(spark, documents, empty):
         assert op.scored(empty, model).count() == 0
 
 
+def test_training_sample_has_one_text_of_an_id(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from trialops.llm.labelled import sample
+
+    rows, labels = [(i, f"text {i} {j}") for i in range(6) for j in range(50)], spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    collected, given = [], DataFrame.toPandas
+    monkeypatch.setattr(DataFrame, "toPandas", lambda self: collected.append(given(self)) or collected[-1])
+    ways = [sample(spark.createDataFrame(some, "doc_id long, text string").coalesce(1), labels, "toxic", {1: 2, 0: 2}, F.lit(False)) for some in (rows, rows[::-1])]
+    assert ways[0][0] == ways[1][0] and ways[0][1].tolist() == ways[1][1].tolist()
+    assert [len(frame) for frame in collected] == [4, 4]
+
+
 @pytest.mark.parametrize(("name", "label", "divisor", "remainder", "least"), [("op7_toxicity", "toxic", 3, 1, 0.9), ("op9_quality", "quality", 5, 0, 0.97)])
 def test_held_out_accuracy(spark, name, label, divisor, remainder, least):
     from trialops.llm.queries import QUERIES

@@ -11,16 +11,18 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, per_class: dict[
     """At most ``per_class`` whole texts of each label, in the order of a hash of their id.
 
     Rows for which ``held_out`` holds are never taken; null labels and labels without a document
-    do not count; of several labels of a document the largest does.
+    do not count; of several labels of a document the largest does.  Of several texts of an id the
+    one of the smallest hash counts, chosen before anything reaches the driver.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).groupBy("doc_id").agg(F.max("y").alias("y")).where(~held_out)
     order = F.xxhash64("doc_id")
-    chosen = [known.where(F.col("y") == y).select("doc_id", "y").orderBy(order).limit(n) for y, n in per_class.items()]
+    chosen = [known.where(F.col("y") == y).select("doc_id", "y").orderBy(order, "doc_id").limit(n) for y, n in per_class.items()]
     picked = chosen[0]
     for more in chosen[1:]:
         picked = picked.unionByName(more)
-    texts = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").toPandas()
-    texts = texts.drop_duplicates("doc_id").sort_values("doc_id")
+    found = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    texts = found.agg(least.alias("t")).select("doc_id", "y", "t.text").toPandas().sort_values("doc_id")
     return [t or "" for t in texts["text"]], texts["y"].to_numpy(np.int64)
 
 
