@@ -271,6 +271,21 @@ def test_classifiers_without_labels(spark, documents, empty):
         assert op.scored(empty, model).count() == 0
 
 
+def test_toxic_words_survive_a_quote_each(spark):
+    from trialops.llm import toxicity
+
+    insults = ["grobblefink", "snortwhacker", "mudgullion", "blatherskite"]
+    toxic = [f"{words(1000 + i, 60)} {insults[i % 4]} {words(2000 + i, 60)}" for i in range(200)]
+    ordinary = [words(3000 + i, 120) + (f" {insults[i]}" if i < 4 else "") for i in range(400)]
+    segments = toxicity.toxic_segments([t.encode() for t in toxic], [t.encode() for t in ordinary])
+    assert all(word.encode() in segments for word in insults)
+    docs = spark.createDataFrame(list(enumerate(toxic + ordinary)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(False))
+    rows = toxicity.scored(docs, model).collect()
+    assert np.mean([(r["score"] >= toxicity.THRESHOLD) == (r["doc_id"] < 200) for r in rows]) >= 0.9
+
+
 def test_training_sample_has_one_text_of_an_id(spark, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 

@@ -1,8 +1,8 @@
 """Toxicity by compression distance: windows are compressed under two zstandard dictionaries.
 
-The ordinary dictionary is ordinary training text.  The toxic one is trained on toxic text: the
-segments that recur in toxic documents and stand in no ordinary one, most frequent last, then the
-same ordinary text, so that the two lengths of a window differ by what toxic text explains.  Every
+The ordinary dictionary is ordinary training text, windows taken evenly from all of it.  The toxic
+one is trained on toxic text: the segments that recur in toxic documents and stand in a far larger
+share of them than of ordinary ones, most frequent last, then the same ordinary text, so that the two lengths of a window differ by what toxic text explains.  Every
 text is cut into windows at spaces; a document's evidence is how often each difference of lengths
 occurs among all its windows.  A logistic calibration, fitted on labelled documents that neither
 dictionary has seen, turns it into a score; the caller compares that with a threshold.
@@ -29,6 +29,8 @@ TOXIC_DOCUMENTS, ORDINARY_DOCUMENTS = 3_000, 6_000
 WINDOW = 256
 GRAM = 5
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 8_192
+#: Times the share of ordinary documents that a toxic gram has among toxic ones, half a document added to each.
+RATIO = 10
 LOW, HIGH = -3, 10
 THRESHOLD = 0.7
 
@@ -60,15 +62,17 @@ def _grams(data: bytes) -> set[bytes]:
 
 
 def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """Segments of toxic text that recur in it and never stand in ordinary text."""
+    """Segments of toxic text that recur in it at ``RATIO`` times their rate in ordinary text."""
     found: Counter[bytes] = Counter()
     for data in toxic:
         found.update(_grams(data))
     least = max(2, len(toxic) // 300)
     found = Counter({g: n for g, n in found.items() if n >= least})
+    also: Counter[bytes] = Counter()
     for data in ordinary:
-        for gram in found.keys() & _grams(data):
-            del found[gram]
+        also.update(found.keys() & _grams(data))
+    few, many = RATIO * (len(toxic) + 1), len(ordinary) + 1
+    found = Counter({g: n for g, n in found.items() if (n + 0.5) * many >= (also[g] + 0.5) * few})
     segments: Counter[bytes] = Counter()
     for data in toxic:
         counts = [found.get(data[i : i + GRAM], 0) for i in range(len(data) - GRAM + 1)] + [0]
@@ -95,6 +99,13 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
     return b"".join(reversed(kept))
 
 
+def spread(texts: list[str], size: int) -> bytes:
+    """Windows of all texts at even distances, ``size`` bytes at most."""
+    parts = [w for t in texts for w in windows(t)]
+    n = min(len(parts), size // WINDOW)
+    return b"".join(parts[k * len(parts) // n] for k in range(n))
+
+
 def _compressor(dictionary: bytes):
     settings = zstandard.ZstdCompressionParameters(
         window_log=17, hash_log=15, chain_log=16, search_log=6, min_match=GRAM, target_length=64,
@@ -131,16 +142,16 @@ def train(documents: DataFrame, labels: DataFrame, held_out: Column, label: str
     data = [t.lower().encode() for t in texts]
     teach, rest = part < 3, part >= 3
     ordinary = [d for d, t, k in zip(data, teach, y, strict=True) if t and not k]
-    base = b"".join(d[:4096] for d in ordinary)[:ORDINARY_BYTES]  # a dictionary's content, not a scored text
+    base = spread([x for x, t, k in zip(texts, teach, y, strict=True) if t and not k], ORDINARY_BYTES)
     toxic = toxic_segments([d for d, t, k in zip(data, teach, y, strict=True) if t and k], ordinary) + base
     features = evidence([t for t, r in zip(texts, rest, strict=True) if r], base, toxic)
     if len(np.unique(y[rest])) < 2:
         share = float(np.clip(y.mean() if len(y) else 0, 1e-6, 1 - 1e-6))
         columns = evidence([""], base, toxic).shape[1]
         return Model(base, toxic, np.zeros(columns), np.ones(columns), np.append(np.zeros(columns), np.log(share / (1 - share))))
-    mean, spread = features.mean(axis=0), features.std(axis=0) + 1e-9
-    weights = logistic(np.column_stack([(features - mean) / spread, np.ones(len(features))]), y[rest], ridge=2.0)
-    return Model(base, toxic, mean, spread, weights)
+    mean, deviation = features.mean(axis=0), features.std(axis=0) + 1e-9
+    weights = logistic(np.column_stack([(features - mean) / deviation, np.ones(len(features))]), y[rest], ridge=2.0)
+    return Model(base, toxic, mean, deviation, weights)
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
