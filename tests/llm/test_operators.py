@@ -84,6 +84,24 @@ def test_jaccard_join(spark, documents, empty):
     assert sorted(r["doc_id"] for r in jj.one_per_group(documents.where("doc_id < 5"), 5, 80).collect()) == [1, 4]
 
 
+def test_one_per_group_decides_by_row(spark):
+    from trialops.llm import jaccard_join as jj
+
+    def near(text, at):
+        copy = text.split()
+        copy[at] = f"edit{at}"
+        return " ".join(copy)
+
+    a, b, c, d = (words(60 + i, 200) for i in range(4))
+    rows = [(1, a), (None, near(a, 20)), (None, b), (None, near(b, 50)), (None, b), (2, c), (3, near(c, 9)), (3, d), (3, d), (None, ""), (5, None)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string")
+    found = jj.one_per_group(docs, 5, 80)
+    kept = Counter((r["doc_id"], r["text"]) for r in found.collect())
+    assert found.columns == docs.columns and max(kept.values()) == 1
+    assert len(kept.keys() & {(None, b), (None, near(b, 50))}) == 1
+    assert kept.keys() - {(None, b), (None, near(b, 50))} == {(1, a), (2, c), (3, d), (None, ""), (5, None)}
+
+
 def test_signatures_never_part_similar_sets():
     from trialops.llm import jaccard_join as jj
 
