@@ -128,3 +128,35 @@ def ngram_jaccard_join(spark, sf_dir):
     from trialops.llm import jaccard_join
 
     return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
+@bind("op11_cross_polytope")
+def cross_polytope_neighbours(spark, sf_dir):
+    from trialops.llm import cross_polytope
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return cross_polytope.neighbours(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+@bind("op12_importance_resampling", sql.IMPORTANCE)
+def importance_resampling(spark, sf_dir):
+    from trialops.llm import importance
+
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@bind("op13_fill_in_middle", sql.FILL_IN_MIDDLE)
+def fill_in_the_middle(spark, sf_dir):
+    from trialops.llm import fill_in_middle as fim
+
+    hexdigest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    rows = fim.transformed(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        hexdigest(F.col("output")).alias("output_sha256"),
+        hexdigest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )

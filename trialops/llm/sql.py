@@ -133,3 +133,53 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles,
   least(doc_id, coalesce((SELECT min(y) FROM reach WHERE reach.x = sets.doc_id), doc_id)) AS component_id
 FROM sets
 """
+
+# A byte moves a CRC by one of 256 values; the list is built by eight steps of its polynomial.
+IMPORTANCE = """
+WITH steps AS (
+  SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(0, 256) r(i))
+), texts AS (
+  SELECT 'd' AS side, doc_id, text FROM documents UNION ALL SELECT 't', item_id, text FROM benchmark
+), lists AS (
+  SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM texts
+), placed AS (SELECT side, doc_id, unnest(w) AS word FROM lists
+), words AS (SELECT DISTINCT word FROM placed
+), hexed AS (SELECT word, hex(encode(word)) AS h FROM words
+), bytes AS (
+  SELECT word, list_transform(range(0, CAST(len(h) // 2 AS BIGINT)), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT)) AS b FROM hexed
+), hashed AS (
+  SELECT word, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM bytes, steps
+), counted AS (SELECT side, doc_id, bucket FROM placed JOIN hashed USING (word)
+), buckets AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM counted GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((CAST(t AS DOUBLE) + 1) * (CAST(sum(s) OVER () AS DOUBLE) + 10000)) / ((CAST(s AS DOUBLE) + 1) * (CAST(sum(t) OVER () AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+  FROM buckets
+), summed AS (SELECT doc_id, sum(gain) AS weight FROM counted JOIN gains USING (bucket) WHERE side = 'd' GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM lists LEFT JOIN summed USING (doc_id) WHERE side = 'd'
+), able AS (SELECT count(*) * 10 // 100 AS drawn FROM scored WHERE n_features >= 20
+), ordered AS (SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id) AS place FROM scored
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM ordered, able
+"""
+
+FILL_IN_MIDDLE = """
+WITH doc AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), cut AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS w, CAST(('0x' || substr(h, 1, 8)) AS BIGINT) AS h1,
+    CAST(('0x' || substr(h, 9, 8)) AS BIGINT) AS h2, CAST(('0x' || substr(h, 17, 8)) AS BIGINT) AS h3, CAST(('0x' || substr(h, 25, 8)) AS BIGINT) AS h4 FROM doc
+), parts AS (
+  SELECT doc_id, text, len(w) AS n, array_to_string(list_slice(w, 1, least(h1 % (len(w) + 1), h2 % (len(w) + 1))), '') AS p,
+    array_to_string(list_slice(w, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) + 1, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1))), '') AS m,
+    array_to_string(list_slice(w, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) + 1, len(w)), '') AS s,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
