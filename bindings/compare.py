@@ -35,12 +35,17 @@ def normal(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.sort_values(list(frame.columns), na_position="last", ignore_index=True)
 
 
+def kind(column: pd.Series) -> str:
+    """Kind of the values; whole numbers of which some are missing may be floats in one frame only."""
+    return "f" if column.dtype.kind in "iu" and column.isna().any() else column.dtype.kind
+
+
 def difference(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(set(got.columns) ^ set(want.columns))[:6]}"
     if len(got) != len(want):
         return f"rows {len(got)} != {len(want)}"
-    kinds = {c: (got[c].dtype.kind, want[c].dtype.kind) for c in got if got[c].dtype.kind != want[c].dtype.kind}
+    kinds = {c: (kind(got[c]), kind(want[c])) for c in got if kind(got[c]) != kind(want[c])}
     got, want = normal(got), normal(want)
     for name in got:
         a, b = got[name], want[name]
