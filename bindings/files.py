@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bindings.registry import bind, out, table
 from bindings.views import CODED_SQL, TRIAL_SQL, VISIT_SQL, coded, trial_raw, visit
 from trialops.functions.nulls import is_true, to_number
+from trialops.operators import joins
 from trialops.operators.reshape import first_row, label
 from trialops.plans import switching
 from trialops.session import shared_folder
@@ -128,6 +129,38 @@ def stack(spark, sf_dir):
     return delimited.stack(first, second)
 
 
+@bind(
+    "s9_header_groups",
+    out(
+        """SELECT user_id AS subject, CASE WHEN event_id % 3 <> 1 THEN event_type END AS condition, event_id AS rt, event_id % 2 AS acc,
+        'day' AS timestamp FROM events WHERE event_id % 3 <> 0 OR event_id % 10 <> 0""",
+        "subject rt acc", "", "condition timestamp",
+    ),
+)
+def header_groups(spark, sf_dir):
+    """Sessions of three kinds in one folder: the usual header, one without a condition and with a
+    column of its own in another order, one with the columns swapped; some lines of the first are too long."""
+    path = folder(spark)
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(
+        e,
+        F.col("user_id").alias("subject_nr"),
+        F.col("event_type").alias("trialType"),
+        e.alias("response_time"),
+        (e % 2).alias("correct"),
+        F.when((e % 3 == 0) & (e % 10 == 0), "day,more").otherwise("day").alias("datetime"),
+        F.lit("x").alias("note"),
+    )
+    kinds = (
+        ("subject_nr", "trialType", "response_time", "correct", "datetime"),
+        ("note", "datetime", "correct", "subject_nr", "response_time"),
+        ("correct", "datetime", "trialType", "response_time", "subject_nr"),
+    )
+    for kind, names in enumerate(kinds):
+        rows.filter(e % 3 == kind).select(*names).write.mode("append").options(header=True, quote="").csv(path)
+    return delimited.read_touch(spark, path, by_header=True).drop("file")
+
+
 @bind(
     "s4_s11_coded_file",
     out(
@@ -161,6 +194,24 @@ def decimal_point(spark, sf_dir):
     return spark.read.options(header=True, sep=";").csv(path).withColumnRenamed("value", "text")
 
 
+@bind(
+    "w8_ordered_scores",
+    out(
+        """SELECT event_id, value, row_number() OVER (ORDER BY value DESC, event_id) AS place FROM
+        (SELECT event_id, CASE WHEN event_id % 9 > 0 THEN round(value * 100) / 4 END AS value FROM events) WHERE value IS NOT NULL""",
+        "event_id place", "value",
+    ),
+)
+def ordered_scores(spark, sf_dir):
+    """Scores written in order, and the order of the files read back."""
+    path = folder(spark)
+    value = F.when(F.col("event_id") % 9 > 0, F.round(F.col("value") * 100) / 4)
+    scores = table(spark, sf_dir, "events").select("event_id", value.alias("value")).filter("value IS NOT NULL")
+    sinks.write_scores(scores, path, decimal=".", order_by=[F.col("value").desc(), F.col("event_id")])
+    back = sinks.read_ordered(spark, path)
+    return back.select(F.col("event_id").cast("long").alias("event_id"), F.col("value").cast("double").alias("value"), "place")
+
+
 @bind(
     "c23_tag_block",
     out(
@@ -184,10 +235,10 @@ def tag_block(spark, sf_dir):
     doubles="last_event",
 )
 def lookup(spark, sf_dir):
-    """A per-subject value mapped onto rows; Spark broadcasts it only when it is small."""
+    """A per-subject value mapped onto rows, however many of them a subject has."""
     events = table(spark, sf_dir, "events")
     last = events.filter("event_type = 'error'").groupBy("user_id").agg(F.max("event_id").alias("last_event"))
-    return events.join(last, "user_id", "left").select("event_id", "last_event")
+    return joins.lookup(events.select("user_id", "event_id"), last, "user_id").select("event_id", "last_event")
 
 
 @bind(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bindings.registry import bind, out, table
-from bindings.views import BAND_SQL, FIX_SQL, fix
+from bindings.views import BAND_SQL, FIX_SQL, JUMP_SQL, SIDE_X, SWITCH_SQL, fix, gaze_at, jumps, switching_gaze
 from trialops.functions import looks
 from trialops.functions.nulls import ratio
 from trialops.operators import anticipation, clean, fixations
@@ -455,22 +456,56 @@ def switching_scores(spark, sf_dir):
     return switching.reduce(rows, facts, rows, facts).short
 
 
-@bind("u1_w9_detect_fixations")
+@bind(
+    "u1_w9_detect_fixations",
+    out(
+        f"""WITH {JUMP_SQL} SELECT subject, trial, place, side, round(since / 100) AS starts, round((since + dwell) / 100) AS ends
+        FROM jump""",
+        "subject trial place starts ends", "", "side",
+    ),
+)
 def detected(spark, sf_dir):
-    """Gaze that jumps between two places every 300 ms, made from the line items of a supplier."""
-    from pyspark.sql import Window
-
-    in_order = Window.partitionBy("subject", "trial").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("subject"),
-        (1 + F.col("l_orderkey") % 2).alias("trial"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
+    """Fixations found in gaze that jumps at known times; edges to a tenth of a second."""
+    found = detect_fixations(gaze_at(jumps(spark, sf_dir), ["subject", "trial"]), ["subject", "trial"], Detection())
+    in_trial = Window.partitionBy("subject", "trial").orderBy("start_t")
+    return found.select(
+        "subject",
+        "trial",
+        F.row_number().over(in_trial).alias("place"),
+        F.when(F.col("xpos") < SIDE_X["centre"], "left").otherwise("right").alias("side"),
+        F.round(F.col("start_t") / 100).cast("long").alias("starts"),
+        F.round(F.col("end_t") / 100).cast("long").alias("ends"),
     )
-    timed = rows.withColumn("time", (2 * F.row_number().over(in_order)).cast("double"))
-    right = F.floor(F.col("time") / 300) % 2
-    x = 400 + 1100 * right + F.col("l_quantity") / 10
-    y = 500 + F.col("l_linenumber").cast("double")
-    gaze = timed.select(
-        "subject", "trial", "time", x.alias("left_x"), y.alias("left_y"), (x + 1).alias("right_x"), y.alias("right_y")
-    )
-    return detect_fixations(gaze, ["subject", "trial"], Detection())
+
+
+# --- raw gaze to scores --------------------------------------------------------------------
+
+_RAW = {
+    "anticipations_count_variable": "max(anticipations)",
+    "trial_max_completed": "max(trials)",
+    "correct_anticipations": "count(*) FILTER (kind <> 1)",
+    "incorrect_anticipations": "count(*) FILTER (kind = 1)",
+    "correct_reactive": "count(*) FILTER (late = 0)",
+    # the eye dwells 500 ms on the coming side and 300 ms elsewhere
+    "fix_mean_correct_anticipation": "CASE WHEN count(*) FILTER (kind <> 1) > 0 THEN 5 END",
+    "fix_mean_incorrect_anticipation": "CASE WHEN count(*) FILTER (kind < 2) > 0 THEN 3 END",
+    "fix_mean_correct_reactive": "4",
+}
+_RAW_WIDE = " ".join(f"{m}_{b}" for m in _RAW for b in switching.BLOCKS)
+_RAW_CELLS = ", ".join(f"max({m}) FILTER (block = '{b}') AS {m}_{b}" for m in _RAW for b in switching.BLOCKS)
+
+
+@bind(
+    "t6_raw_gaze_switching",
+    out(
+        f"""WITH {SWITCH_SQL}, report AS (SELECT subject, block, {", ".join(f"{sql} AS {m}" for m, sql in _RAW.items())}
+        FROM switch GROUP BY subject, block) SELECT subject, {_RAW_CELLS} FROM report GROUP BY subject""",
+        "subject", _RAW_WIDE,
+    ),
+    doubles=_RAW_WIDE,
+)
+def raw_switching(spark, sf_dir):
+    """From samples to the wide report of the switching task; durations to a tenth of a second."""
+    short = switching.reduce_gaze(switching_gaze(spark, sf_dir)).short
+    means = [c for c in short.columns if c.startswith("fix_mean_")]
+    return short.withColumns({c: F.round(F.col(c) / 100) for c in means})

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings.registry import bind, out, table
-from bindings.views import ATTENDED_SQL, GLANCE_SQL, VISIT_SQL, attended, glance, visit
+from bindings.views import ATTENDED_SQL, GLANCE_SQL, THREE_PLACES, TWO_PLACES, VISIT_SQL, attended, glance, sequence_gaze
+from bindings.views import sequence_sql, visit
 from trialops.functions import screens
 from trialops.functions import sequences as numbers
+from trialops.functions.looks import BAND_AREAS, three_position_areas
 from trialops.operators import clean
 from trialops.operators import sequences as seq
 from trialops.operators import visits as v
@@ -132,21 +134,24 @@ def grid(spark, sf_dir):
     return fill_grid(counts.agg(F.count(F.lit(1)).alias("n")), "subject", "subgroup", seq.SUBGROUPS)
 
 
-_LOOKED = f"""WITH {GLANCE_SQL}, looked AS (
-  SELECT *, CASE WHEN trial % 2 = 0 THEN 2 ELSE 1 END AS position, (trial + 1) // 2 AS sequence, {_SUBGROUPS["6m"]} AS subgroup FROM
-  (SELECT period, subject, trial, aoi, coalesce(sum(dur), 0) AS sum_fix, avg(dur) AS mean_fix, min(start_t) AS min_start_time,
-          max(end_t) AS max_end_time FROM glance_banded WHERE aoi IS NOT NULL AND aoi <> 0 GROUP BY ALL)),
-reacted AS (SELECT *, CASE WHEN aoi = position THEN 1 ELSE 0 END AS correct_reactive FROM looked WHERE period = 'reactive'),
+# the rules of positions 1 and 2; looks at a third position are neither
+_SCORED = f"""reacted AS (SELECT *, CASE WHEN aoi = position AND aoi <= 2 THEN 1 ELSE 0 END AS correct_reactive FROM looked WHERE period = 'reactive'),
 attended AS (SELECT subject, trial FROM reacted WHERE correct_reactive = 1), {_W2},
 rest AS (SELECT a.subject, trial, trial_second_sequence_attended FROM attended a JOIN reached r ON a.subject = r.subject
          WHERE trial > trial_second_sequence_attended),
 both_periods AS (SELECT l.*, 1 AS correct_reactive, trial_second_sequence_attended,
-         CASE WHEN aoi <> position THEN 1 END AS correct_anticipation, CASE WHEN aoi = position THEN 1 END AS sticky_fixation
+         CASE WHEN aoi <> position AND aoi <= 2 AND position <= 2 THEN 1 END AS correct_anticipation,
+         CASE WHEN aoi = position AND aoi <= 2 THEN 1 END AS sticky_fixation
          FROM looked l JOIN rest r ON l.subject = r.subject AND l.trial = r.trial WHERE period = 'anticipatory'),
 per_trial AS (SELECT subject, trial, avg(position) AS position, avg(correct_reactive) AS correct_reactive,
          max(correct_anticipation) AS correct_anticipation,
          CASE WHEN max(correct_anticipation) = 1 THEN NULL ELSE max(sticky_fixation) END AS sticky_fixation,
          max(sequence) AS sequence, max(subgroup) AS subgroup FROM both_periods GROUP BY subject, trial)"""
+_LOOKED = f"""WITH {GLANCE_SQL}, looked AS (
+  SELECT *, CASE WHEN trial % 2 = 0 THEN 2 ELSE 1 END AS position, (trial + 1) // 2 AS sequence, {_SUBGROUPS["6m"]} AS subgroup FROM
+  (SELECT period, subject, trial, aoi, coalesce(sum(dur), 0) AS sum_fix, avg(dur) AS mean_fix, min(start_t) AS min_start_time,
+          max(end_t) AS max_end_time FROM glance_banded WHERE aoi IS NOT NULL AND aoi <> 0 GROUP BY ALL)),
+{_SCORED}"""
 
 
 def trial_looks(spark, sf_dir, period="anticipatory"):
@@ -270,6 +275,57 @@ def subgroups_wide(spark, sf_dir):
     return sequence_learning.reduce(*periods).subgroup
 
 
+# --- raw gaze to scores ---------------------------------------------------------------------
+
+THREE = three_position_areas(((100, 700), (100, 500)), ((1200, 1800), (100, 500)), ((700, 1200), (600, 1000)))
+
+
+def _raw_sql(variant: str, places: int) -> str:
+    """The planned looks of the eye, scored like the fixations of the other queries."""
+    length, trials = _LENGTHS[variant]
+    return f"""WITH {sequence_sql(trials, _POSITIONS[variant], places)}, looked AS (SELECT *, (trial + {length - 1}) // {length} AS sequence,
+      {_SUBGROUPS[variant]} AS subgroup FROM glanced), {_SCORED}"""
+
+
+_SUBJECT = f"""SELECT s.*, n_reactive_all_task, trial_second_sequence_attended FROM ({_stats("subject", "n_sticky_fixation")}) s
+  LEFT JOIN (SELECT subject, sum(correct_reactive) AS n_reactive_all_task FROM reacted GROUP BY ALL) r ON s.subject = r.subject
+  JOIN reached e ON s.subject = e.subject"""
+
+
+def raw_scores(spark, sf_dir, variant, places, areas):
+    trials = numbers.VARIANTS[variant].trials
+    gaze = sequence_gaze(spark, sf_dir, trials, lambda t: numbers.stimulus_position(t, variant), places)
+    return sequence_learning.reduce_gaze(gaze, variant, areas)
+
+
+@bind(
+    "t7_raw_gaze_9m",
+    out(
+        f"{_raw_sql('9m', 2)} {_SUBJECT}",
+        "subject n_correct_anticipations n_sticky_fixation trial_max_completed n_total_anticipations n_reactive_all_task "
+        "trial_second_sequence_attended",
+        "n_reactive_after_second_sequence",
+    ),
+)
+def raw_nine_months(spark, sf_dir):
+    """Samples of the version of 9 months, in bands, to the scores of each subject."""
+    return raw_scores(spark, sf_dir, "9m", TWO_PLACES, BAND_AREAS).subject
+
+
+@bind(
+    "t7_raw_gaze_16m_three_positions",
+    out(
+        f"""{_raw_sql('16m', 3)} SELECT subject, {', '.join(f"max({m}) FILTER (subgroup = {n}) AS {m}_{n}" for m in sequence_learning.MEASURES for n in seq.SUBGROUPS)}
+        FROM ({_SUBGROUP_STATS}) GROUP BY subject""",
+        "subject", _SUB_WIDE,
+    ),
+    doubles=_SUB_WIDE,
+)
+def raw_sixteen_months(spark, sf_dir):
+    """Samples of the version of 16 months, with three positions, to the scores of each sub-block."""
+    return raw_scores(spark, sf_dir, "16m", THREE_PLACES, THREE).subgroup
+
+
 # --- area export ---------------------------------------------------------------------------
 
 _NAMED = "aoi LIKE '%ANTICIPATION INCORRECT {n}%' OR aoi LIKE '%ANTICIPATION CORRECT {n}%' OR aoi LIKE '%DOING IT {n}%'"

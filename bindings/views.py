@@ -252,3 +252,152 @@ def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 10 == 0, F.concat(F.lit("toy"), F.col("user_id") % 4)).alias("toy1"),
         F.when(e % 10 == 1, F.concat(F.lit("toy"), 4 + F.col("user_id") % 4)).alias("toy2"),
     )
+
+
+# --- gaze with known jumps: places of the eye, in Spark with their samples and in SQL without ----
+
+SAMPLE_MS = 4
+#: Places of the eye on the screen by side, in pixels.
+SIDE_X = {"left": 400, "centre": 960, "right": 1500}
+
+
+def gaze_at(places: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples of both eyes at the places ``keys, since, dwell, x, y``, with a jitter of two pixels."""
+    k = F.explode(F.sequence(F.lit(0), (F.col("dwell") / SAMPLE_MS).cast("int") - 1)).alias("k")
+    rows = places.select(*keys, "since", "x", "y", k)
+    x = (F.col("x") + (F.col("k") * 7 + F.col("since")) % 5 - 2).cast("double")
+    y = (F.col("y") + F.col("k") * 3 % 5 - 2).cast("double")
+    time = (F.col("since") + SAMPLE_MS * F.col("k")).cast("double")
+    return rows.select(
+        *keys, time.alias("time"), x.alias("left_x"), y.alias("left_y"), (x + 1).alias("right_x"), y.alias("right_y")
+    )
+
+
+JUMP_SQL = """
+jump AS (
+  SELECT s_suppkey AS subject, trial, j + 1 AS place, CASE WHEN (s_suppkey + trial + j) % 2 = 0 THEN 'left' ELSE 'right' END AS side,
+         300 + 100 * ((s_suppkey + 2 * trial + j) % 3) AS dwell,
+         coalesce(list_sum(list_transform(range(0, j), lambda i: 300 + 100 * ((s_suppkey + 2 * trial + i) % 3))), 0) AS since
+  FROM supplier, range(1, 3) t(trial), range(0, 4) p(j) WHERE j < 2 + s_suppkey % 3)
+"""
+
+
+def jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two trials per supplier, in which the eye jumps between two places two to four times."""
+    s, trial, j = F.col("s_suppkey"), F.col("trial"), F.col("j")
+    rows = (
+        table(spark, sf_dir, "supplier")
+        .select("s_suppkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("trial"))
+        .select("*", F.explode(F.sequence(F.lit(0), (1 + s % 3).cast("int"))).alias("j"))
+    )
+
+    def dwell(i):
+        return 300 + 100 * ((s + 2 * trial + i) % 3)
+
+    before = F.when(j > 0, F.sequence(F.lit(0), j - 1)).otherwise(F.array().cast("array<int>"))
+    return rows.select(
+        s.alias("subject"),
+        "trial",
+        F.when((s + trial + j) % 2 == 0, SIDE_X["left"]).otherwise(SIDE_X["right"]).alias("x"),
+        F.lit(500).alias("y"),
+        dwell(j).alias("dwell"),
+        F.aggregate(before, F.lit(0).cast("long"), lambda total, i: total + dwell(i)).alias("since"),
+    )
+
+
+def in_turn(rows: DataFrame, keys: list[str], turns: list[tuple]) -> DataFrame:
+    """Places of the eye one after the other; ``turns`` are (condition, x, y, dwell), and those whose
+    condition fails are left out."""
+    named = [
+        F.when(condition, F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(dwell).cast("long").alias("dwell")))
+        for condition, x, y, dwell in turns
+    ]
+    kept = rows.select(*keys, F.array_compact(F.array(*named)).alias("places"))
+
+    def start(place, i):
+        return F.aggregate(F.slice("places", F.lit(1), i), F.lit(0).cast("long"), lambda total, p: total + p["dwell"])
+
+    return kept.select(*keys, F.inline(F.transform("places", lambda p, i: p.withField("since", start(p, i)))))
+
+
+SWITCH_SQL = """
+switch AS (
+  SELECT s_suppkey AS subject, b, 'block' || b AS block, t AS trial, (s_suppkey + b) % 7 AS anticipations,
+         (s_suppkey + b + t) % 3 AS kind, (s_suppkey + t) % 2 AS late, 3 + s_suppkey % 2 AS trials
+  FROM supplier, range(1, 3) blocks(b), range(1, 5) ts(t) WHERE t <= 3 + s_suppkey % 2)
+"""
+
+
+def switching_gaze(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of the switching task: two blocks of three or four trials per supplier.
+
+    A trial starts at the centre.  In the anticipatory period the eye then goes to the other side, to
+    the coming side, or to one after the other; in the reactive period to one of the sides.
+    """
+    s, b, t = F.col("s_suppkey"), F.col("b"), F.col("t")
+    right = (s + b) % 2 == 0
+    rows = (
+        table(spark, sf_dir, "supplier")
+        .select("s_suppkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("b"))
+        .select("*", F.explode(F.sequence(F.lit(1), (3 + s % 2).cast("int"))).alias("t"))
+        .select("*", F.explode(F.array(F.lit("anticipatory"), F.lit("reactive"))).alias("period"))
+        .select(
+            "period",
+            s.alias("subject"),
+            F.concat(F.lit("block"), b.cast("string")).alias("block"),
+            t.alias("trial"),
+            F.when(right, "Right").otherwise("Left").alias("target_side"),
+            ((s + b) % 7).alias("anticipations"),
+            F.when(right, SIDE_X["right"]).otherwise(SIDE_X["left"]).alias("side"),
+            F.when(right, SIDE_X["left"]).otherwise(SIDE_X["right"]).alias("other"),
+            ((s + b + t) % 3).alias("kind"),
+            ((s + t) % 2).alias("late"),
+        )
+    )
+    early, kind, y = F.col("period") == "anticipatory", F.col("kind"), F.lit(500)
+    turns = [
+        (F.lit(True), F.lit(SIDE_X["centre"]), y, 300),
+        (early & (kind < 2), F.col("other"), y, 300),
+        (early & (kind != 1), F.col("side"), y, 500),
+        (~early, F.when(F.col("late") == 0, F.col("side")).otherwise(F.col("other")), y, 500),
+    ]
+    keys = ["period", "subject", "block", "trial", "target_side", "anticipations"]
+    return gaze_at(in_turn(rows, keys, turns), keys)
+
+
+#: Centres of the areas of the sequence task by number: two bands, or three positions.
+TWO_PLACES = {1: (400, 500), 2: (1500, 500)}
+THREE_PLACES = {1: (400, 300), 2: (1500, 300), 3: (950, 800)}
+
+
+def sequence_gaze(spark: SparkSession, sf_dir: str, trials: int, position, places: dict[int, tuple[int, int]]) -> DataFrame:
+    """Samples of the sequence task: ``trials`` trials in both periods per supplier.
+
+    ``position`` is the column function of the place of the stimulus.  In the reactive period the
+    eye goes there in four of five trials, else to the next place; in the anticipatory period it
+    stays there in one of four trials and goes to the next place in the others.
+    """
+    s, t = F.col("s_suppkey"), F.col("t")
+    rows = (
+        table(spark, sf_dir, "supplier")
+        .select("s_suppkey", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("t"))
+        .select("*", F.explode(F.array(F.lit("anticipatory"), F.lit("reactive"))).alias("period"))
+    )
+    there, reactive = position(t), F.col("period") == "reactive"
+    stays = F.when(reactive, (s + t) % 5 != 0).otherwise((3 * s + t) % 4 == 0)
+    looked = F.when(stays, there).otherwise(there % len(places) + 1)
+    x, y = (F.create_map(*[F.lit(v) for n, xy in places.items() for v in (n, xy[i])])[looked] for i in (0, 1))
+    named = rows.select("period", s.alias("subject"), t.alias("trial"), x.alias("x"), y.alias("y"))
+    turns = [(F.lit(True), F.col("x"), F.col("y"), 300)]
+    keys = ["period", "subject", "trial"]
+    return gaze_at(in_turn(named, keys, turns), keys)
+
+
+def sequence_sql(trials: int, position: str, places: int) -> str:
+    """The looks of ``sequence_gaze`` by their plan: period, subject, trial, aoi, position."""
+    return f"""
+    planned AS (SELECT s_suppkey AS s, trial, period, {position} AS position,
+      CASE WHEN period = 'reactive' THEN (s_suppkey + trial) % 5 <> 0 ELSE (3 * s_suppkey + trial) % 4 = 0 END AS stays
+      FROM supplier, range(1, {trials + 1}) ts(trial), (VALUES ('anticipatory'), ('reactive')) periods(period)),
+    glanced AS (SELECT period, s AS subject, trial, position, CASE WHEN stays THEN position ELSE position % {places} + 1 END AS aoi FROM planned)
+    """

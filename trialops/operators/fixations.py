@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialops.functions.looks import trial_filter
 from trialops.operators.medians import median_of_counts
+from trialops.operators.reshape import extreme_rows, last_of
 
 TRIAL = ("subject", "trial")
 LATENCY = "saccade_latency"
@@ -37,7 +38,7 @@ def last_fixation(
     A trial is included when the fixation ends with the trial, excluded when it ends earlier.
     """
     complete = fixations.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
-    last = complete.groupBy(*keys).agg(F.max(F.struct(start, end)).alias("last")).select(*keys, "last.*")
+    last = last_of(complete, keys, start, end)
     gap = F.col("last_time") - F.col(end)
     return last.join(bounds.select(*keys, "last_time"), list(keys)).select(
         *keys,
@@ -64,14 +65,14 @@ def first_correct(
 ) -> DataFrame:
     """First fixation on the target in each trial, and its latency from the trial's first sample.
 
-    The earliest start, and the ``keep`` columns of its row, come from an aggregate, which
-    combines before the shuffle, instead of from sorting whole trials.
+    The earliest start comes from an aggregate, which combines before the shuffle, and the ``keep``
+    columns from the rows that reach it, instead of from sorting whole trials.
     """
-    hits = fixations.filter(F.col(flag) == 1).groupBy(*keys)
+    hits = fixations.filter(F.col(flag) == 1)
     if keep:
-        first = hits.agg(F.min(F.struct(start, *keep)).alias("row")).select(*keys, "row.*")
+        first = extreme_rows(hits, keys, start, list(keep))
     else:
-        first = hits.agg(F.min(start).alias(start))
+        first = hits.groupBy(*keys).agg(F.min(start).alias(start))
     onset = bounds.select(*keys, "first_time")
     return first.join(onset, list(keys)).withColumn(LATENCY, F.col(start) - F.col("first_time"))
 

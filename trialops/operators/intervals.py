@@ -46,7 +46,7 @@ def first_interruption(df: DataFrame, file: str = "file", onset: str = "onset")
 def cut_at_interruption(events: DataFrame, files: DataFrame, file: str = "file") -> DataFrame:
     """Events that start before the ``first_irruption_onset`` of their file, ending with it at
     the latest.  ``files`` has a row per file; a file may hold most of the events."""
-    joined = spread_join(events, files, file, ["onset", "stream"])
+    joined = spread_join(events, files, file)
     clamped = F.when(F.col("offset").isNotNull(), F.least("offset", "first_irruption_onset"))
     return joined.filter(F.col("onset") < F.col("first_irruption_onset")).withColumn("offset", clamped)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -72,10 +72,43 @@ def fill_grid(df: DataFrame, key: str, name: str, values: Sequence[int]) -> Data
     return df.unionByName(blank).groupBy(key, name).agg(*[F.max(c).alias(c) for c in measures])
 
 
+def extreme_rows(
+    df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], largest: bool = False
+) -> DataFrame:
+    """The row of the smallest (or ``largest``) ``order`` of each key, without sorting the rows.
+
+    The extreme is found in a hash table, which combines before the shuffle; then only the rows that
+    reach it are looked at, and of several the one whose ``columns`` come first.  Rows without an
+    order do not count; a missing key is a key.
+    """
+    rows = df.filter(F.col(order).isNotNull()).select(*keys, order, *columns)
+    best = F.max(order) if largest else F.min(order)
+    named = {k: f"_key{i}" for i, k in enumerate(keys)}
+    extremes = rows.groupBy(*[F.col(k).alias(n) for k, n in named.items()]).agg(best.alias("_best"))
+    same = F.col(order) == F.col("_best")
+    for key, name in named.items():
+        same &= F.col(key).eqNullSafe(F.col(name))
+    # one row per key goes into the hash table, the rows themselves are not sorted
+    reached = rows.join(extremes.hint("shuffle_hash"), same, "left_semi")
+    if not columns:
+        return reached.groupBy(*keys).agg(F.max(order).alias(order))
+    within = Window.partitionBy(*keys).orderBy(*columns)
+    return reached.withColumn("_place", F.row_number().over(within)).filter("_place = 1").drop("_place")
+
+
 def first_row(df: DataFrame, keys: list[str], order: str, columns: Sequence[str]) -> DataFrame:
-    """The first row of each key by ``order``, from an aggregate instead of a sort."""
-    row = F.min(F.struct(order, *columns)).alias("row")
-    return df.filter(F.col(order).isNotNull()).groupBy(*keys).agg(row).select(*keys, "row.*")
+    """The first row of each key by ``order``."""
+    return extreme_rows(df, keys, order, columns)
+
+
+def last_of(df: DataFrame, keys: Sequence[str], order: str, number: str) -> DataFrame:
+    """The largest ``order`` of each key and the largest ``number`` beside it, both without a sort.
+
+    Rows are first reduced to one per key and order; of one order there is then one number, so that
+    the second step takes it along in its hash table.
+    """
+    each = df.groupBy(*keys, order).agg(F.max(number).alias(number))
+    return each.groupBy(*keys).agg(F.max(order).alias(order), F.max_by(number, order).alias(number))
 
 
 def select_like(df: DataFrame, fragment: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Delimited recordings: one scan over all files of a folder.
 
 Columns are read as text in the order of the header and converted by name.  A file whose header
-has another order fails instead of being misread; read such files as a group of their own and
-stack the groups.
+has another order fails instead of being misread; with ``by_header`` files are grouped by their
+header first, and the groups are read and stacked by name.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from trialops.functions.nulls import decimal_comma
 from trialops.operators.clean import relative_time, text_trial_number
 from trialops.sources import schemas
+from trialops.sources.headers import header_groups
 
 Columns = dict[str, tuple[str, str]]
 REJECTED = "_rejected_line"
@@ -30,13 +31,20 @@ def _text_schema(spark: SparkSession, path, **options) -> StructType:
     return StructType([StructField(name, StringType()) for name in header])
 
 
-def read_text_columns(spark: SparkSession, path, sep: str, glob: str, skip_long: bool = False, **options) -> DataFrame:
+def read_text_columns(
+    spark: SparkSession, path, sep: str, glob: str, skip_long: bool = False, by_header: bool = False, **options
+) -> DataFrame:
     """All columns as text, plus ``file``, the path of the file: files of one name in two folders
     are two recordings.
 
     With ``skip_long`` lines with more fields than the header are dropped; short lines are kept
-    and padded in any case.
+    and padded in any case.  With ``by_header`` files may differ in their columns and the order of
+    them; a column that a file does not have is NULL in its rows.
     """
+    if by_header:
+        groups = header_groups(spark, path, glob)
+        if len(groups) > 1:
+            return stack(*[read_text_columns(spark, files, sep, glob, skip_long, **options) for files in groups])
     options = {"sep": sep, "pathGlobFilter": glob, **options}
     schema = _text_schema(spark, path, **options)
     if skip_long:
@@ -87,37 +95,45 @@ def subject_from_file(start: int, length: int, file: str = "file") -> Column:
     return F.substring(F.substring_index(file, "/", -1), start, length)
 
 
-def read_attention(spark: SparkSession, path) -> DataFrame:
-    return typed(read_text_columns(spark, path, ";", "*.csv"), schemas.ATTENTION_COLUMNS)
+def read_attention(spark: SparkSession, path, by_header: bool = False) -> DataFrame:
+    return typed(read_text_columns(spark, path, ";", "*.csv", by_header=by_header), schemas.ATTENTION_COLUMNS)
 
 
-def read_stop_signal(spark: SparkSession, path) -> DataFrame:
-    return typed(read_text_columns(spark, path, ";", "*.csv"), schemas.STOP_COLUMNS, comma=True)
+def read_stop_signal(spark: SparkSession, path, by_header: bool = False) -> DataFrame:
+    return typed(read_text_columns(spark, path, ";", "*.csv", by_header=by_header), schemas.STOP_COLUMNS, comma=True)
 
 
-def read_touch(spark: SparkSession, path, columns: Columns = schemas.TOUCH_COLUMNS) -> DataFrame:
+def read_touch(
+    spark: SparkSession, path, columns: Columns = schemas.TOUCH_COLUMNS, by_header: bool = False
+) -> DataFrame:
     """Sessions of touchscreen tasks; lines with too many fields are dropped."""
-    return typed(read_text_columns(spark, path, ",", "*.csv", skip_long=True), columns)
+    return typed(read_text_columns(spark, path, ",", "*.csv", skip_long=True, by_header=by_header), columns)
 
 
 def read_gaze(
-    spark: SparkSession, path, subject: tuple[int, int], columns: Columns = schemas.GAP_OVERLAP_COLUMNS
+    spark: SparkSession,
+    path,
+    subject: tuple[int, int],
+    columns: Columns = schemas.GAP_OVERLAP_COLUMNS,
+    by_header: bool = False,
 ) -> DataFrame:
     """Eye-tracker samples with the time since the start of the trial; ``.`` is missing."""
-    rows = typed(read_text_columns(spark, path, "\t", "*.txt", nullValue="."), columns, comma=True)
+    text = read_text_columns(spark, path, "\t", "*.txt", by_header=by_header, nullValue=".")
+    rows = typed(text, columns, comma=True)
     timed = relative_time(rows, "timestamp", "trial_start", "time")
     return timed.withColumn("subject", subject_from_file(*subject))
 
 
-def read_visits(spark: SparkSession, path) -> DataFrame:
+def read_visits(spark: SparkSession, path, by_header: bool = False) -> DataFrame:
     """Exported area visits; ``-`` is missing."""
-    rows = typed(read_text_columns(spark, path, ",", "*.txt", nullValue="-"), schemas.VISIT_COLUMNS)
+    text = read_text_columns(spark, path, ",", "*.txt", by_header=by_header, nullValue="-")
+    rows = typed(text, schemas.VISIT_COLUMNS)
     return rows.withColumn("trial", text_trial_number(F.col("trial_text"))).drop("trial_text")
 
 
-def read_coded(spark: SparkSession, path) -> DataFrame:
+def read_coded(spark: SparkSession, path, by_header: bool = False) -> DataFrame:
     """Coded video, one file per participant."""
-    return typed(read_text_columns(spark, path, ";", "*.csv"), schemas.CODED_COLUMNS)
+    return typed(read_text_columns(spark, path, ";", "*.csv", by_header=by_header), schemas.CODED_COLUMNS)
 
 
 def stack(first: DataFrame, *others: DataFrame) -> DataFrame:
