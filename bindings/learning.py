@@ -254,8 +254,8 @@ _SUB = " ".join(sequence_learning.MEASURES)
     doubles=_SUB,
 )
 def subgroup_statistics(spark, sf_dir):
-    react = reacted(spark, sf_dir)
-    return seq.subgroup_statistics(per_trial(spark, sf_dir), react, seq.second_sequence(seq.attended_trials(react)))
+    periods = [glance(spark, sf_dir, p) for p in ("anticipatory", "reactive")]
+    return seq.subgroup_table(sequence_learning.marked_trials(*periods))
 
 
 _SUB_WIDE = " ".join(f"{m}_{n}" for m in sequence_learning.MEASURES for n in seq.SUBGROUPS)

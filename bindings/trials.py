@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.registry import bind, out
+from bindings.registry import bind, out, table
 from bindings.views import STOP_SQL, TRIAL_SQL, stop_raw, trial_raw
 from trialops.functions.nulls import strict_total, total
 from trialops.operators import clean, scores
@@ -228,6 +228,32 @@ def median_by_ranges(spark, sf_dir):
     return grouped_median(events, ["event_type"], "value", "median_value")
 
 
+@bind(
+    "g5_median_whole_numbers",
+    out("SELECT l_returnflag AS flag, median(l_orderkey) AS median_order FROM lineitem GROUP BY ALL", "", "median_order", "flag"),
+)
+def median_whole_numbers(spark, sf_dir):
+    """Whole numbers with as many distinct values as there are orders, in three groups."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_orderkey").cast("int").alias("order"))
+    return grouped_median(rows, ["flag"], "order", "median_order")
+
+
+@bind(
+    "g5_median_tiny_values",
+    out(
+        """SELECT event_type, median(CASE WHEN event_id % 5 = 0 THEN -value ELSE value END * 1e-15) * 1e15 AS median_value FROM events
+        GROUP BY ALL""",
+        "", "median_value", "event_type",
+    ),
+)
+def median_tiny_values(spark, sf_dir):
+    """Values far below 1e-11 of both signs, which lie in several ranges like any others."""
+    value = F.when(F.col("event_id") % 5 == 0, -F.col("value")).otherwise(F.col("value")) * 1e-15
+    rows = table(spark, sf_dir, "events").select("event_type", value.alias("value"))
+    medians = grouped_median(rows, ["event_type"], "value", "median_value")
+    return medians.withColumn("median_value", F.col("median_value") * 1e15)
+
+
 _TOUCH = """SELECT subject, timestamp, flanker AS condition, median(rt) FILTER (acc = 1) AS median_rt,
   count(acc) AS number_trials, count(*) FILTER (acc = 0) AS number_errors,
   count(*) FILTER (rt = 0) AS number_errors_omission,

@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from __spark_entry__ import queries
+from bindings.registry import QUERIES
 
 TABLES = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(TABLES).is_dir(), reason="tables not present")
@@ -16,6 +17,7 @@ def plan(spark, name):
 
 
 TASKS = [n for n in queries() if n.startswith("t")]
+BOUND = list(QUERIES)
 
 
 @pytest.mark.parametrize("name", TASKS)
@@ -31,7 +33,7 @@ def test_tasks_have_no_cross_joins(spark, name):
         ("t3_touch", 1, 3),
         ("t7_g17_j14_subject_statistics", 2, 2),
         ("t8_j12_area_export", 1, 3),
-        ("t9_v8_j13_g21f_coded_video", 2, 3),
+        ("g18_subgroup_statistics", 2, 4),
         ("w4_j3b_first_correct", 2, 2),
     ],
 )
@@ -55,10 +57,41 @@ def test_the_eye_filter_runs_before_the_labels(spark):
 def final_plan(spark, name):
     df = queries()[name](spark, TABLES)
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return executed(df._jdf.queryExecution().executedPlan().toString())
 
 
-@pytest.mark.parametrize("name, scans", [("g5_median_by_ranges", 1), ("t5_j5_gap_overlap", 4), ("t2_stop_signal_times", 2)])
+def executed(text):
+    """The plan without the initial plans of its adaptive parts."""
+    kept, skip = [], None
+    for line in text.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if skip is not None and depth >= skip and "== Final Plan ==" not in line:
+            continue
+        skip = depth if "== Initial Plan ==" in line else None
+        if skip is None:
+            kept.append(line)
+    return "\n".join(kept)
+
+
+def test_coded_video_counts_its_files_once(spark):
+    """Both sides of the join use one count of the events per file."""
+    text = final_plan(spark, "t9_v8_j13_g21f_coded_video")
+    assert "ReusedSubquery" in text and plan(spark, "t9_v8_j13_g21f_coded_video").count("Exchange hashpartitioning") <= 5
+
+
+def test_no_query_sorts_rows_to_aggregate_them(spark):
+    for name in BOUND:
+        assert "SortAggregate" not in plan(spark, name), name
+
+
+def test_weights_of_detection_are_computed_once(spark):
+    """One shuffle of samples, one of stretches; cut-offs and runs read the same stretches."""
+    text = final_plan(spark, "u1_w9_detect_fixations")
+    assert text.count("MapInArrow weigh") == 1 and text.count("ReusedExchange") == 1
+    assert text.count("FileScan") == 1 and "Python" not in text and "InPandas" not in text
+
+
+@pytest.mark.parametrize("name, scans", [("g5_median_by_ranges", 1), ("t5_j5_gap_overlap", 4), ("t2_stop_signal_times", 1)])
 def test_medians_shuffle_their_counts_once(spark, name, scans):
     text = final_plan(spark, name)
     assert text.count("FileScan") == scans and "ReusedExchange" in text

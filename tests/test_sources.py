@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from trialops.sources import delimited, schemas, sinks
 
@@ -102,3 +103,84 @@ def test_numbers_of_score_files_have_no_exponent(spark):
         "123456789012.25", "never", "-never", None, None,
     ]
     assert [r.v for r in sinks.as_text(df.limit(2), ",").collect()] == ["12345678,5", "-0,0001"]
+
+
+KINDS = (
+    "subject_nr,trialType,response_time,correct,datetime\n",
+    "datetime,correct,note,subject_nr,response_time\n",
+    "trialType,subject_nr,response_time,correct,datetime\n",
+)
+
+
+def mixed_folder(tmp_path):
+    folder = write(tmp_path / "t", "a.csv", KINDS[0] + "1,Alert,300,1,d\n1,Alert,300,1,d,extra\n")
+    write(tmp_path / "t", "b [1] é.csv", KINDS[1] + 'd,1,"a,b",2,400\n')
+    write(tmp_path / "t", "c.csv", KINDS[2] + "NoAlert,3,500,0,d\n")
+    write(tmp_path / "t", "d.csv", KINDS[0] + "4,NoAlert,600,1,d\n")
+    write(tmp_path / "t", "e.csv", "\n" + KINDS[0] + "5,Alert,700,1,d\n")
+    write(tmp_path / "t", "empty.csv", "")
+    write(tmp_path / "t", "notes.txt", "other,header\n")
+    return folder
+
+
+def test_files_of_several_headers_are_stacked_by_name(spark, tmp_path, rows):
+    df = delimited.read_touch(spark, mixed_folder(tmp_path), by_header=True)
+    want = [(1, "Alert", 300, 1), (2, None, 400, 1), (3, "NoAlert", 500, 0), (4, "NoAlert", 600, 1), (5, "Alert", 700, 1)]
+    assert rows(df, "subject", "condition", "rt", "acc") == want
+    assert df.select(delimited.subject_from_file(1, 5).alias("s")).distinct().count() == 5
+
+
+def test_scans_follow_the_kinds_of_headers_not_the_files(spark, tmp_path):
+    folder = mixed_folder(tmp_path)
+    for i in range(20):
+        write(tmp_path / "t", f"more{i}.csv", KINDS[i % 3] + "x\n")
+    plan = delimited.read_touch(spark, folder, by_header=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 3
+    same = write(tmp_path / "u", "a.csv", KINDS[0] + "1,Alert,300,1,d\n")
+    write(tmp_path / "u", "b.csv", KINDS[0] + "2,Alert,300,1,d\n")
+    one = delimited.read_touch(spark, same, by_header=True)
+    assert one._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1 and one.count() == 2
+
+
+def test_the_manifest_reads_first_lines_only(spark, tmp_path):
+    from trialops.sources.headers import first_lines
+
+    line = "1,Alert,300,1," + "d" * 200 + "\n"
+    folder = write(tmp_path / "t", "large.csv", HEADER + line * 50_000)
+    write(tmp_path / "t", "small.csv", HEADER + line)
+    df = first_lines(spark, folder, "*.csv")
+    assert [r.header for r in df.collect()] == [HEADER.strip()] * 2
+    # a file is a task, and no task goes on to the rest of its file
+    assert df.rdd.getNumPartitions() == 2
+    probe = df.sparkSession.conf
+    assert probe.get("spark.sql.files.maxPartitionBytes") == "1" and spark.conf.get("spark.sql.files.maxPartitionBytes") != "1"
+
+
+@pytest.mark.parametrize("ending", ["coded", "gaze"])
+def test_other_readers_take_several_headers_too(spark, tmp_path, ending, rows):
+    names = list(schemas.CODED_COLUMNS if ending == "coded" else schemas.GAP_OVERLAP_COLUMNS)
+    sep, glob = (";", "csv") if ending == "coded" else ("\t", "txt")
+    for i, header in enumerate((names, names[::-1], [*names[1:], "extra", names[0]])):
+        values = {n: ("7" if n.endswith(("onset", "offset")) or ending == "gaze" else "x") for n in names}
+        write(tmp_path / "f", f"file{i}.{glob}", sep.join(header) + "\n" + sep.join(values.get(n, "e") for n in header) + "\n")
+    if ending == "coded":
+        found = delimited.read_coded(spark, str(tmp_path / "f"), by_header=True)
+        assert rows(found, "irruption_onset", "toy1") == [(7.0, "x")] * 3
+    else:
+        found = delimited.read_gaze(spark, str(tmp_path / "f"), (1, 4), by_header=True)
+        assert rows(found, "trial", "time", "left_x", "subject") == [(7, 0.0, 7.0, "file")] * 3
+
+
+def test_score_files_in_order(spark, tmp_path):
+    path = str(tmp_path / "ordered")
+    values = [None, 3.5, -1.0, 2.0, 100.0, 9.0, 9.0, -50.5, 1e-7]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values * 20)], "i int, v double").repartition(6)
+    sinks.write_scores(df, path, order_by=["v", "i"])
+    back = sorted(sinks.read_ordered(spark, path).collect(), key=lambda r: r.place)
+    assert [r.place for r in back] == list(range(1, 181))
+    want = sorted(((v, i) for i, v in enumerate(values * 20)), key=lambda p: (p[0] is not None, p[0] or 0, p[1]))
+    assert [int(r.i) for r in back] == [i for _, i in want]
+    down = str(tmp_path / "down")
+    sinks.write_scores(df, down, order_by=[F.col("v").desc_nulls_last(), F.col("i")])
+    first = min(sinks.read_ordered(spark, down).collect(), key=lambda r: r.place)
+    assert (first.v, first.i) == ("100,0", "4")

@@ -38,11 +38,19 @@ def correct_only(df: DataFrame, acc: str = "acc", correct: int = 1) -> DataFrame
 
 def valid_go(df: DataFrame, trial_type: str, rt: str, acc: str) -> DataFrame:
     """Correct, non-anticipatory Go trials."""
-    return df.filter((F.col(trial_type) == "Go") & (F.col(rt) > ANTICIPATORY_MS) & (F.col(acc) == 1))
+    return df.filter(is_valid_go(trial_type, rt, acc))
+
+
+def is_valid_go(trial_type: str, rt: str, acc: str) -> Column:
+    return (F.col(trial_type) == "Go") & (F.col(rt) > ANTICIPATORY_MS) & (F.col(acc) == 1)
 
 
 def stop_trials(df: DataFrame, trial_type: str) -> DataFrame:
-    return df.filter(F.col(trial_type) == "StopSignal")
+    return df.filter(is_stop(trial_type))
+
+
+def is_stop(trial_type: str) -> Column:
+    return F.col(trial_type) == "StopSignal"
 
 
 def name_blocks(block: Column, names: dict = BLOCK_NAMES) -> Column:

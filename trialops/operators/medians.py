@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Whole numbers whose distinct values are few, such as times in ms; long ones may be any number.
-WHOLE = (T.ByteType, T.ShortType, T.IntegerType)
+#: Whole numbers of at most 65,536 distinct values; all others are any number.
+FEW = (T.ByteType, T.ShortType)
+#: Octaves below 1 in which a double may lie, and one more than those above it.
+OCTAVES_BELOW, OCTAVES_ABOVE = 1075, 1025
 RANGES_PER_OCTAVE = 1024
 FINE_RANGES_PER_OCTAVE = 2**25
 
@@ -23,10 +25,6 @@ def weighted_median(value: Column, weight: Column) -> Column:
     return F.percentile(value, 0.5, weight)
 
 
-def is_whole(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, WHOLE)
-
-
 def count_copies(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Distinct values of each group with their number, ``copies``.
 
@@ -44,7 +42,7 @@ def grouped_median(
     Rows without a key belong to no group.
     """
     counted = count_copies(df.filter(reduce(and_, [F.col(k).isNotNull() for k in keys])), keys, value)
-    if is_whole(df, value):
+    if isinstance(df.schema[value].dataType, FEW):
         totals = [F.sum(c).alias(n) for n, c in (sums or {}).items()]
         return counted.groupBy(*keys).agg(weighted_median(F.col(value), F.col("copies")).alias(name), *totals)
     return median_of_counts(counted, keys, value, name, sums)
@@ -53,10 +51,12 @@ def grouped_median(
 def value_range(value: Column, per_octave: int = RANGES_PER_OCTAVE) -> Column:
     """Number of a narrow range of values; larger values never have a smaller number.
 
-    Ranges are a fraction of a percent wide and finest around 0, so any double falls in one of
-    at most half a million ranges, whatever its unit.
+    A range is the same fraction of its values everywhere, also beside zero, so that values of any
+    unit fall in several of them; zero is a range of its own.
     """
-    return F.signum(value) * F.floor(per_octave * F.log2(1 + 1000 * F.abs(value)))
+    octave = F.least(F.log2(F.abs(value)), F.lit(float(OCTAVES_ABOVE)))
+    number = F.floor(per_octave * octave) + F.lit(OCTAVES_BELOW * per_octave).cast("long")
+    return F.when(value == 0, F.lit(0).cast("long")).otherwise(F.signum(value).cast("long") * number)
 
 
 def median_of_counts(

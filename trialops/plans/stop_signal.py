@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialops.operators.clean import settle_pretarget, stop_trials, strict_cast, valid_go
+from trialops.operators.clean import is_stop, is_valid_go, settle_pretarget, stop_trials, strict_cast, valid_go
 from trialops.operators.reshape import label, pivot_wide
 from trialops.operators.scores import ERROR_MEASURES, error_counts, mean_and_median
 
@@ -43,6 +43,20 @@ def pretarget_times(trials: DataFrame) -> DataFrame:
     return mean_and_median(_named(stop_trials(trials, "TrialType")), KEYS, "PreTarget_Duration", "pretarget")
 
 
+def response_times(trials: DataFrame) -> DataFrame:
+    """``go_times`` and ``pretarget_times`` in one table, from one count of the trials.
+
+    A trial is a Go or a stop trial, so each has one time: that of its response or its pre-target
+    duration.  A cell has ``target_RT_mean, target_RT_median`` or ``pretarget_mean, pretarget_median``.
+    """
+    go, stop = is_valid_go("TrialType", "Target_RT", "Target_ACC"), is_stop("TrialType")
+    time = F.when(go, F.col("Target_RT").cast("double")).when(stop, F.col("PreTarget_Duration").cast("double"))
+    timed = _named(trials).filter(go | stop).select(*KEYS, time.alias("time"))
+    scores = mean_and_median(timed, KEYS, "time", "time")
+    cells = {f"{name}_{m}": F.when(kind, F.col(f"time_{m}")) for name, kind in (("target_RT", ~stop), ("pretarget", stop)) for m in ("mean", "median")}
+    return scores.select(*KEYS, *[cell.alias(name) for name, cell in cells.items()])
+
+
 def errors(trials: DataFrame) -> DataFrame:
     """Error counts per task and trial type; an omission is an error without a response."""
     counts = error_counts(F.col("Target_ACC"), F.col("Target_RT"), omission_needs_error=True)
@@ -61,7 +75,10 @@ def reduce(
     """
     rows = clean(trials, on_null)
     named = label("Task", "TrialType")
-    go_wide = pivot_wide(go_times(rows), ["Subject"], named, ["target_RT_mean", "target_RT_median"], go)
-    stop_wide = pivot_wide(pretarget_times(rows), ["Subject"], named, ["pretarget_mean", "pretarget_median"], stop)
+    times = response_times(rows)
+    columns = {"target_RT_mean": go, "target_RT_median": go, "pretarget_mean": stop, "pretarget_median": stop}
+    both = [F.count("target_RT_mean").alias("go"), F.count("pretarget_mean").alias("stop")]
+    wide = pivot_wide(times, ["Subject"], named, list(columns), list(dict.fromkeys([*go, *stop])), extra=both)
+    times_wide = wide.filter("go > 0 AND stop > 0").select("Subject", *[f"{m}_{t}" for m, types in columns.items() for t in types])
     error_wide = pivot_wide(errors(rows), ["Subject"], named, [*ERROR_MEASURES, "pretarget_responses"], types)
-    return Scores(go_wide.join(stop_wide, "Subject"), error_wide, rows)
+    return Scores(times_wide, error_wide, rows)

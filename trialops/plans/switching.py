@@ -69,7 +69,7 @@ def store_gaze(gaze: DataFrame, path: str) -> DataFrame:
     """The gaze table as Parquet by period and block: later plans read the columns and the period
     they need instead of the delimited files."""
     write_table(gaze, path, ("period", "block"))
-    return gaze.sparkSession.read.schema(gaze.schema).parquet(path)
+    return gaze.sparkSession.read.schema(gaze.schema).parquet(path).select(*gaze.columns)
 
 
 def segment(gaze: DataFrame, options: Detection = Detection()) -> DataFrame:
