@@ -220,7 +220,7 @@ def drop_early(spark, sf_dir):
     ),
 )
 def latency_scores(spark, sf_dir):
-    return fixations.latency_scores(last(spark, sf_dir), latencies(spark, sf_dir), _THRESHOLD)
+    return fixations.latency_scores(last(spark, sf_dir), latencies(spark, sf_dir), _THRESHOLD, share=True)
 
 
 _T5 = f"""{FIX}, {_LABELLED},

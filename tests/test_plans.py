@@ -91,7 +91,7 @@ def test_weights_of_detection_are_computed_once(spark):
     assert text.count("FileScan") == 1 and "Python" not in text and "InPandas" not in text
 
 
-@pytest.mark.parametrize("name, scans", [("g5_median_by_ranges", 1), ("t5_j5_gap_overlap", 4), ("t2_stop_signal_times", 1)])
+@pytest.mark.parametrize("name, scans", [("g5_median_by_ranges", 1), ("t2_stop_signal_times", 1)])
 def test_medians_shuffle_their_counts_once(spark, name, scans):
     text = final_plan(spark, name)
     assert text.count("FileScan") == scans and "ReusedExchange" in text
@@ -128,3 +128,29 @@ def test_tasks_broadcast_only_by_checked_size(spark):
 
 def test_file_facts_do_not_sort_samples(spark):
     assert "SortAggregate" not in plan(spark, "g13_file_facts")
+
+
+@pytest.mark.parametrize("name", ["t5_j5_gap_overlap", "g11_latency_scores"])
+def test_latency_scores_read_their_stored_counts_only(spark, name):
+    text = plan(spark, name)
+    assert "lineitem.parquet" not in text and text.count("FileScan") == text.count("latencies-")
+
+
+def test_both_tables_of_the_attention_task_from_one_count(spark, rows):
+    from bindings.views import trial_raw
+    from trialops.plans import attention_network
+
+    trials = trial_raw(spark, TABLES)
+    cues = ["click", "view"]
+    lazy, shared = (attention_network.reduce(trials, cues, share=share) for share in (False, True))
+    for one, other in zip(lazy, shared, strict=True):
+        text = other._jdf.queryExecution().executedPlan().toString()
+        assert text.count("FileScan") == 1 and "events.parquet" not in text
+        assert one.count() == other.count() > 0 and one.exceptAll(other).count() == 0
+
+
+def test_shared_tables_are_marked_for_deletion(spark):
+    from trialops.session import shared_table
+
+    df = shared_table(spark.range(3).withColumn("k", spark.range(1).selectExpr("1").scalar()), "three", "k")
+    assert df.columns == ["id", "k"] and df.count() == 3

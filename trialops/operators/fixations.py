@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trialops.functions.looks import trial_filter
 from trialops.operators.medians import median_of_counts
 from trialops.operators.reshape import extreme_rows, last_of
+from trialops.session import shared_table
 
 TRIAL = ("subject", "trial")
 LATENCY = "saccade_latency"
@@ -78,13 +79,20 @@ def first_correct(
 
 
 def latency_scores(
-    last: DataFrame, latencies: DataFrame, threshold_ms: float, groups: list[str] | None = None, keys=TRIAL
+    last: DataFrame,
+    latencies: DataFrame,
+    threshold_ms: float,
+    groups: list[str] | None = None,
+    keys=TRIAL,
+    share: bool = False,
 ) -> DataFrame:
     """Median latency, valid trials, trials with and without a look at the target, and the
     excluded and total trials.
 
     Valid trials are included ones whose latency, if any, reaches the threshold.  Trials are
-    counted once by group, validity and latency, and all scores follow from those counts.
+    counted once by group, validity and latency, and all scores follow from those counts.  The counts
+    are used several times; with ``share`` they are stored at once, so that fixations and samples
+    are planned and read a single time.
     """
     groups = groups or ["subject"]
     latency, n = F.col(LATENCY), F.col("copies")
@@ -96,6 +104,8 @@ def latency_scores(
         F.when(valid, latency).alias(LATENCY),
     )
     counted = trials.groupBy(*groups, "valid", "excluded", LATENCY).agg(F.count(F.lit(1)).alias("copies"))
+    if share:
+        counted = shared_table(counted, "latencies")
     scores = median_of_counts(
         counted,
         groups,

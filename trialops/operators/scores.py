@@ -55,15 +55,17 @@ def scores_by_sets(
     acc: str = "acc",
     levels: Sequence[str] = ("subject", "block"),
     parts: bool = False,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """Mean RT of correct trials and error counts for cue, flanker and flanker x cue,
     per subject (``level`` 'subject') and per subject and block ('block').
 
     ``by`` names the grouping and ``condition`` the joined condition; ``target_rt`` is missing
     where no trial is correct.  Trials without a named block count per subject only.  With
-    ``parts`` the flanker and the cue that a condition is joined of follow.
+    ``parts`` the flanker and the cue that a condition is joined of follow.  ``cells`` are the
+    ``trial_sums`` of the trials where they are known already.
     """
-    cells = trial_sums(df, [subject, block, cue, flanker], rt, acc)
+    cells = trial_sums(df, [subject, block, cue, flanker], rt, acc) if cells is None else cells
     sums = [F.sum(m).alias(m) for m in ("rt_sum", "rt_count", *ERROR_MEASURES)]
     s, b, c, f = (F.col(x) for x in (subject, block, cue, flanker))
     per_level = {"subject": [[s, c], [s, f], [s, f, c]], "block": [[s, b, c], [s, b, f], [s, b, f, c]]}

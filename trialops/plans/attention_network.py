@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from trialops.functions.nulls import strict_total
 from trialops.operators.clean import complete_trials, drop_anticipatory, name_blocks
 from trialops.operators.reshape import pivot_wide
-from trialops.operators.scores import ERROR_MEASURES, scores_by_sets
+from trialops.operators.scores import ERROR_MEASURES, scores_by_sets, trial_sums
+from trialops.session import shared_table
 
 # Conditions and blocks the totals are made of, and the score names.
 FLANKERS = ("congruent", "incongruent")
@@ -42,18 +43,21 @@ def reduce(
     flankers: Sequence[str] = FLANKERS,
     blocks: Sequence[str] = BLOCKS,
     totals_of: Sequence[str] = FLANKERS,
+    share: bool = False,
 ) -> Scores:
     """Wide scores of ``subject, block_number, trial, rt, acc, cue, flanker`` trials.
 
     Subjects need a correct trial, and for the block scores one in a named block.  Columns are named
     by the condition; where a cue and a flanker share a name, by ``cue_`` or ``flanker_`` and it.
+    With ``share`` the trials are counted and the counts stored at once, and both tables read those.
     """
     names = condition_names(cues, flankers)
     totals = [names["flanker", f] for f in totals_of]
     rows = clean(trials)
+    cells = shared_table(trial_sums(rows, ["subject", "block", "cue", "flanker"]), "trials") if share else None
     return Scores(
-        _subject_scores(scores_by_sets(rows, levels=["subject"], parts=True), names, totals),
-        _block_scores(scores_by_sets(rows, levels=["block"], parts=True), names, blocks, totals),
+        _subject_scores(scores_by_sets(rows, levels=["subject"], parts=True, cells=cells), names, totals),
+        _block_scores(scores_by_sets(rows, levels=["block"], parts=True, cells=cells), names, blocks, totals),
     )
 
 

@@ -73,14 +73,16 @@ def reduce(
     screen: Screen = Screen(),
     tolerance_ms: float = 0.0,
     parity_totals: bool = False,
+    share: bool = True,
 ) -> DataFrame:
     """Scores of subjects with valid trials in both conditions.
 
-    ``parity_totals`` leaves the totals of subjects without excluded trials empty.
+    ``parity_totals`` leaves the totals of subjects without excluded trials empty.  With ``share``
+    the counted latencies are stored at once and the scores read those alone.
     """
     last = central(central_period, screen, tolerance_ms)
     latencies = first_correct(target_hits(target_period.fixations, screen), target_period.bounds, KEYS)
-    scores = latency_scores(last, latencies, threshold_ms, ["subject", "condition"], KEYS)
+    scores = latency_scores(last, latencies, threshold_ms, ["subject", "condition"], KEYS, share)
     return combine(scores, parity_totals)
 
 
