@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import gc
 import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialops.session import shared_folder
+from trialops.session import shared_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +18,17 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the folder all executors share and read it back.
 
     Lost executors cost only the tasks that ran on them, and every later use reads the file.  The
-    files live as long as checkpoints there do; whoever cleans that folder removes them.
+    files are removed when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return shared_table(df, name, *partition_by)
+
+
+def free_name(name: str, df: DataFrame) -> str:
+    """``name``, with signs behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def release(spark: SparkSession) -> None:

@@ -60,25 +60,27 @@ def grams(text: Column, k: int | None = None) -> Column:
     return _let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).alias("n"), pick(h).alias("grams")))
 
 
-#: Sixteen-bit counters, four to a long: the bits of a nibble spread over them.
-_SPREAD = [sum(1 << (16 * b) for b in range(4) if n >> b & 1) for n in range(16)]
-
-
 def simhash(shingles: Column) -> Column:
     """64 bits: bit b is set if it is set in more than half of the shingles (with repeats).
 
-    Counters hold up to 32,767 shingles.
+    Up to 32,767 shingles are counted in four counters to a long, more in two.
     """
-    spread = F.array(*(F.lit(n).cast("long") for n in _SPREAD))
-    places = F.array(*(F.lit(4 * i) for i in range(16)))
+    return F.when(F.size(shingles) < 1 << 15, _simhash(shingles, 4)).otherwise(_simhash(shingles, 2))
+
+
+def _simhash(shingles: Column, together: int) -> Column:
+    """Counters of ``64 // together`` bits, ``together`` to a long: some bits of a shingle spread over them."""
+    width, step = 64 // together, together.bit_length() - 1
+    spread = F.array(*(F.lit(sum(1 << (width * b) for b in range(together) if n >> b & 1)).cast("long") for n in range(1 << together)))
+    places = F.array(*(F.lit(i) for i in range(0, 64, together)))
     lanes = F.aggregate(
         shingles,
-        F.array_repeat(F.lit(0).cast("long"), 16),
-        lambda sums, g: F.zip_with(sums, F.transform(places, lambda p: F.get(spread, F.call_function("shiftright", g, p).bitwiseAND(15).cast("int"))), lambda a, b: a + b),
+        F.array_repeat(F.lit(0).cast("long"), 64 // together),
+        lambda sums, g: F.zip_with(sums, F.transform(places, lambda p: F.get(spread, F.call_function("shiftright", g, p).bitwiseAND((1 << together) - 1).cast("int"))), lambda a, b: a + b),
     )
 
     def bits(sums: Column) -> Column:
-        count = lambda b: F.call_function("shiftright", F.get(sums, F.shiftright(b, 2)), b.bitwiseAND(3) * 16).bitwiseAND(0xFFFF)
+        count = lambda b: F.call_function("shiftright", F.get(sums, F.shiftright(b, step)), b.bitwiseAND(together - 1) * width).bitwiseAND((1 << width) - 1)
         return F.aggregate(
             F.sequence(F.lit(0), F.lit(63)),
             F.lit(0).cast("long"),
@@ -170,6 +172,19 @@ def _matches(documents: DataFrame, part: DataFrame, radius: int) -> DataFrame:
     return near.select("doc_id", "row", "item_id", "start", F.explode(alike).alias("s")).select("doc_id", "row", "item_id", "start", "s.shared", "s.total")
 
 
+def _found(documents: DataFrame, benchmark: DataFrame, radius: int) -> DataFrame:
+    """``contaminated`` with ``row``, the hash of the text."""
+    spark = documents.sparkSession
+    parts = [_matches(documents, part, radius) for part in _parts(_items(benchmark.select("item_id", "text")))]
+    if not parts:
+        kinds = documents.select("doc_id").join(benchmark.select("item_id"), F.lit(False))
+        return spark.createDataFrame([], kinds.schema).selectExpr("doc_id", "0L AS row", "item_id", "0L AS n_windows", "0L AS start", "0D AS similarity")
+    found = reduce(DataFrame.unionByName, parts)
+    best = F.max(F.struct((F.col("shared") / F.col("total")).alias("similarity"), (-F.col("start")).alias("at"))).alias("best")
+    counted = found.groupBy("doc_id", "row", "item_id").agg(F.count("*").alias("n_windows"), best)
+    return counted.select("doc_id", "row", "item_id", "n_windows", (-F.col("best.at")).cast("long").alias("start"), F.col("best.similarity").alias("similarity"))
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, n_windows, start, similarity.
 
@@ -178,18 +193,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, radius: int = RADIU
     without words match nothing.  Rows that repeat id and text give one result; other columns are
     not read.  An empty benchmark or no documents give no rows.
     """
-    spark = documents.sparkSession
-    parts = [_matches(documents, part, radius) for part in _parts(_items(benchmark.select("item_id", "text")))]
-    if not parts:
-        kinds = documents.select("doc_id").join(benchmark.select("item_id"), F.lit(False))
-        return spark.createDataFrame([], kinds.schema).selectExpr("doc_id", "item_id", "0L AS n_windows", "0L AS start", "0D AS similarity")
-    found = reduce(DataFrame.unionByName, parts)
-    best = F.max(F.struct((F.col("shared") / F.col("total")).alias("similarity"), (-F.col("start")).alias("at"))).alias("best")
-    counted = found.groupBy("doc_id", "row", "item_id").agg(F.count("*").alias("n_windows"), best)
-    return counted.select("doc_id", "item_id", "n_windows", (-F.col("best.at")).cast("long").alias("start"), F.col("best.similarity").alias("similarity"))
+    return _found(documents, benchmark, radius).drop("row")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Documents that hold no item of the benchmark, with all their columns."""
-    bad = contaminated(documents, benchmark, radius).select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """Documents that hold no item of the benchmark, with all their columns.
+
+    Decided by id and text together: a clean text stays whatever else its id, or a missing id, stands for.
+    """
+    bad = _found(documents, benchmark, radius).select(F.col("doc_id").alias("_bad"), F.col("row").alias("_bad_row")).distinct()
+    same = documents["doc_id"].eqNullSafe(bad["_bad"]) & (F.xxhash64(documents["text"]) == bad["_bad_row"])
+    return documents.join(bad, same, "left_anti")

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialops.llm.common import stored
+
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 1_024
 LEVELS = 8
@@ -26,11 +28,13 @@ LEVELS = 8
 STRIPE = 128
 #: A proof is good enough to stop when at most this share of a shard is left to rescore.
 LEFT = 0.02
-LARGEST = 1 << 24
+#: Quantised components are cut here; scores are exact integers, cut to the range of a long.
+LARGEST = 1 << 62
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    cut = lambda x: F.greatest(F.least(x, F.lit(float(LARGEST))), F.lit(-float(LARGEST)))
+    return F.transform(vector, lambda x: F.floor(cut(F.lit(float(scale)) * x.cast("double"))).cast("long"))
 
 
 def usable(vector: Column) -> Column:
@@ -49,12 +53,11 @@ def _packed(df: DataFrame, group: str) -> DataFrame:
         width = int(lengths.max(initial=0))
         matrix = np.zeros((len(ids), width), np.int64)
         matrix[np.arange(width) < lengths[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
-        if matrix.size and np.abs(matrix).max() > LARGEST:
-            raise ValueError(f"quantised components beyond {LARGEST} are not supported")
         order = np.argsort(ids, kind="stable")
-        small = matrix.size == 0 or np.abs(matrix).max() < 1 << 15
-        matrix = matrix[order].astype("<i2" if small else "<i4")
-        return pa.table({group: table[group][:1], "ids": [ids[order].astype("<i8").tobytes()], "matrix": [matrix.tobytes()], "width": [width], "bytes": [2 if small else 4]})
+        largest = int(np.abs(matrix).max(initial=0))
+        size = 2 if largest < 1 << 15 else 4 if largest < 1 << 31 else 8
+        matrix = matrix[order].astype(f"<i{size}")
+        return pa.table({group: table[group][:1], "ids": [ids[order].astype("<i8").tobytes()], "matrix": [matrix.tobytes()], "width": [width], "bytes": [size]})
 
     return df.groupBy(group).applyInArrow(pack, f"{group} long, ids binary, matrix binary, width long, bytes long")
 
@@ -71,6 +74,7 @@ class ImpactIndex:
         step = max(1, -(-(int(size.max(initial=0)) + 1) // levels))
         level = size // step
         impact = np.where(level > 0, np.sign(vectors) * (level * step + step // 2), 0)
+        self.whole, self.largest = vectors, int(size.max(initial=0))
         self.vectors, self.segments, self.rest = vectors.astype(np.float64), {}, {}
         found = np.zeros_like(self.vectors)
         self.order = [v for v in range(int(level.max(initial=0)), 0, -1) if (level == v).any()]
@@ -99,14 +103,25 @@ class ImpactIndex:
                     break
         if possible is None:
             possible = self._possible(sums, left, norms, k, own)
-        return [(at, np.rint(self.vectors[at] @ q[b]).astype(np.int64)) for b, at in enumerate(possible)]
-
-    @staticmethod
-    def _possible(sums, left, norms, k, own) -> list[np.ndarray]:
+        return [(at, self._exact(at, queries[b])) for b, at in enumerate(possible)]
+
+    def _exact(self, at: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Scores as whole numbers, in the narrowest arithmetic that is exact for them."""
+        bound = self.largest * int(np.abs(query).max(initial=0)) * max(1, len(query))
+        if bound < 1 << 53:
+            return np.rint(self.vectors[at] @ query.astype(np.float64)).astype(np.int64)
+        if bound < 1 << 63:
+            return self.whole[at] @ query
+        scores = self.whole[at].astype(object) @ query.astype(object)
+        return np.array([min(max(s, 1 - (1 << 63)), (1 << 63) - 1) for s in scores], np.int64)
+
+    def _possible(self, sums, left, norms, k, own) -> list[np.ndarray]:
         out = []
         for b, norm in enumerate(norms):
-            slack = norm * left * (1 + 1e-9) + 1e-6
-            low, high = sums[:, b] - slack, sums[:, b] + slack
+            # the second part is more than rounding can move a sum
+            slack = norm * left * (1 + 1e-9) + 1e-12 * norm * self.norms + 1e-6
+            # scores beyond a long are cut and therefore equal
+            low, high = (np.clip(x, -(2.0**63), 2.0**63) for x in (sums[:, b] - slack, sums[:, b] + slack))
             low[own[b]] = high[own[b]] = -np.inf
             proven = np.partition(low, len(low) - k)[len(low) - k] if k < len(low) else -np.inf
             at = np.flatnonzero(high >= proven)
@@ -121,17 +136,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 64, vec_i
     components takes no part, nor does a row without an id; a shorter vector is filled up with
     zeros.  A query's own id is no candidate.  Ties go to the smaller id.  Repeated candidate rows
     each count; queries that repeat in id and vector are one.  Columns other than the two named
-    are not read.
+    are not read.  Scores are exact for components of any size up to ``LARGEST``.
     """
 
     def ready(df):
         return df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"))).select("id", quantised(F.col("v"), scale).alias("vector"))
 
-    candidates, asked = ready(vectors), ready(queries).dropDuplicates(["id", "vector"])
+    # of rows equal in id and vector no more than k can be among the best k
+    counted = ready(vectors).groupBy("id", "vector").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
+    candidates = stored(counted.select("id", "vector", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")), "candidates")
+    asked = ready(queries).dropDuplicates(["id", "vector"])
     shards = max(1, -(-candidates.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
-    place = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("long")
-    index = _packed(candidates.withColumn("shard", place(shards)), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
+    place = lambda n, *more: F.pmod(F.xxhash64("id", "vector", *more), F.lit(n)).cast("long")
+    index = _packed(candidates.withColumn("shard", place(shards, "copy")), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
     wanted = _packed(asked.withColumn("block", place(blocks)), "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
 
     def search(shard: pa.Table, block: pa.Table) -> pa.Table:

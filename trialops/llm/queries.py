@@ -96,6 +96,7 @@ def repeated_byte_windows(spark, sf_dir):
         F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["e"] - s["s"]).alias("n_removed"),
         F.size("_spans").cast("long").alias("n_spans"),
         F.sha2("_kept", 256).alias("kept_sha256"),
+        rw.kept_text().alias("text"),
     )
 
 

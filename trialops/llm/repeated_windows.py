@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialops.llm.bytehash import PIECE, Ranges, lowest
-from trialops.llm.common import release, stored
+from trialops.llm.common import free_name, release, stored
 
 LENGTH = 400
 _NO_ID = -(1 << 63)
@@ -170,20 +170,48 @@ def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     Rows that repeat are copies of each other and lose whatever is long enough.  A null id is
     allowed.  Columns named like the two added are replaced; all others pass through.
     """
-    spans = repeated_spans(documents.select("doc_id", "text"), length).select(F.col("d").alias("_d"), F.col("k").alias("_k"), F.col("spans").alias("_spans"))
-    rows = documents.drop("_spans", "_kept", "_d", "_k").withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_k": F.xxhash64("text", "doc_id")})
+    spans = repeated_spans(documents.select("doc_id", "text"), length)
+    rows = documents.drop("_spans", "_kept")
+    d, k = free_name("_d", rows), free_name("_k", rows)
+    spans = spans.select(F.col("d").alias(d), F.col("k").alias(k), F.col("spans").alias("_spans"))
+    rows = rows.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), k: F.xxhash64("text", "doc_id")})
     none = F.array().cast("array<struct<s: bigint, e: bigint>>")
-    rows = rows.join(spans, ["_d", "_k"], "left").drop("_d", "_k").withColumn("_spans", F.coalesce("_spans", none))
-    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    gaps = F.zip_with(
+    rows = rows.join(spans, [d, k], "left").drop(d, k).withColumn("_spans", F.coalesce("_spans", none))
+    kept = F.aggregate(_gaps(), F.lit(b""), lambda out, g: F.concat(out, _between(g["s"], g["e"])))
+    return rows.withColumn("_kept", F.when(F.size("_spans") == 0, _data()).otherwise(kept))
+
+
+def _data() -> Column:
+    return F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+
+
+def _between(start: Column, end: Column) -> Column:
+    return F.substring(_data(), (start + 1).cast("int"), (end - start).cast("int"))
+
+
+def _gaps() -> Column:
+    """Byte ranges between the removed ones, and before the first and behind the last."""
+    return F.zip_with(
         F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda x: x["e"])),
-        F.concat(F.transform("_spans", lambda x: x["s"]), F.array(F.octet_length(data).cast("long"))),
+        F.concat(F.transform("_spans", lambda x: x["s"]), F.array(F.octet_length(_data()).cast("long"))),
         lambda s, e: F.struct(s.alias("s"), e.alias("e")),
     )
-    kept = F.aggregate(gaps, F.lit(b""), lambda out, g: F.concat(out, F.substring(data, (g["s"] + 1).cast("int"), (g["e"] - g["s"]).cast("int"))))
-    return rows.withColumn("_kept", F.when(F.size("_spans") == 0, data).otherwise(kept))
+
+
+#: Hexadecimal digits of bytes at a border: further bytes of a character that began before it, and the
+#: beginning of one that ends behind it.
+_CUT_FIRST = "^(?:[89AB][0-9A-F])*"
+_CUT_LAST = "(?:[C-F][0-9A-F]|[EF][0-9A-F][89AB][0-9A-F]|F[0-9A-F](?:[89AB][0-9A-F]){2})$"
 
 
 def kept_text() -> Column:
-    """The kept bytes as text; what is left of characters that were cut in two goes."""
-    return F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("\ufffd"), F.lit("")))
+    """The kept bytes as text; characters that a removed range cuts in two go, all others stay."""
+
+    def whole(g: Column) -> Column:
+        first = F.when(g["s"] > 0, F.length(F.regexp_extract(F.hex(_between(g["s"], F.least(g["e"], g["s"] + 3))), _CUT_FIRST, 0)) / 2).otherwise(0)
+        start = g["s"] + first.cast("long")
+        last = F.regexp_extract(F.hex(_between(F.greatest(start, g["e"] - 3), g["e"])), f"^(?:..)*?({_CUT_LAST})", 1)
+        return _between(start, F.greatest(start, g["e"] - (F.length(last) / 2).cast("long")))
+
+    kept = F.aggregate(_gaps(), F.lit(b""), lambda out, g: F.concat(out, whole(g)))
+    return F.when(F.size("_spans") == 0, F.col("text")).otherwise(kept.cast("string"))

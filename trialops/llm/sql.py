@@ -43,9 +43,8 @@ WITH page AS (
     md5('metadata|' || {_UUID.format('h')}) AS m, md5('conversion|' || {_UUID.format('h')}) AS c
   FROM page
 ), bare AS (
-  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload,
-    '<!--.*?-->', '', 'gs'),
-    '<(script|style|noscript|template)([\\s/][^>]*)?>.*?</(script|style|noscript|template)\\s*>', '', 'gis'),
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(payload,
+    '<!--.*?-->|<script([\\s/][^>]*)?>.*?</script\\s*>|<style([\\s/][^>]*)?>.*?</style\\s*>|<noscript([\\s/][^>]*)?>.*?</noscript\\s*>|<template([\\s/][^>]*)?>.*?</template\\s*>', '', 'gis'),
     '</?(p|br|hr|div|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|main|title|blockquote|pre)([\\s/][^>]*)?>', chr(10), 'gi'),
     '<[/!?a-zA-Z][^>]*>', '', 'g') AS marked
   FROM source

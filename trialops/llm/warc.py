@@ -10,62 +10,66 @@ Every step is one expression per row; there is no shuffle.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-#: Stands for a written ampersand while the rest is decoded; a private character, removed from pages.
-KEPT = "\ue000"
-#: Named character references that are decoded; ``&amp;`` is decoded last.  Fixed values.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®",
-    "&middot;": "·", "&bull;": "•", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘",
-    "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&euro;": "€",
-}
+#: Named character references: those of HTML 4, and the apostrophe.
+ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+#: A reference is no longer than this, its semicolon counted.
+LONGEST_REFERENCE = 40
 #: Removed with their content, turned into line ends, and removed; in this order.
 MARKUP = (
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<(script|style|noscript|template)([\s/][^>]*)?>.*?</(script|style|noscript|template)\s*>", ""),
-    (r"(?i)</?(p|br|hr|div|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|main|title|blockquote|pre)([\s/][^>]*)?>", "\n"),
+    (r"(?is)<!--.*?-->|<(script|style|noscript|template)(?:[\s/][^>]*)?>.*?</\1\s*>", ""),
+    (r"(?i)</?(?:p|br|hr|div|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|main|title|blockquote|pre)(?:[\s/][^>]*)?>", "\n"),
     (r"<[/!?a-zA-Z][^>]*>", ""),
 )
-SPACES = ((r"[ \t\r\f\x0B]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", ""))
+#: Runs of blanks; a single blank stays without being matched.
+SPACES = ((r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " "), (r" ?\n[ \n]*", "\n"))
 
 
 def _char(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
-def _numeric(text: Column) -> Column:
-    """Decode decimal references of valid code points; others stay as they are."""
-    parts = F.split(text, "&#", -1)
+def _referenced(name: Column) -> Column:
+    """The character of a reference without ``&`` and ``;``; NULL if there is none of this name."""
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    digits = F.regexp_extract(name, "^#0*([0-9]{1,7})$", 1)
+    hexadecimal = F.regexp_extract(name, "^#[xX]0*([0-9A-Fa-f]{1,6})$", 1)
+    code = F.when(digits != "", digits).when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).cast("long")
+    good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(F.startswith(name, F.lit("#")), F.when(good, _char(code))).otherwise(F.try_element_at(named, name))
+
+
+def _decoded(text: Column) -> Column:
+    """Character references decoded once, in one pass; what is no known reference stays as it is."""
+    parts = F.split(text, "&", -1)
 
     def one(part: Column) -> Column:
-        digits = F.regexp_extract(part, "^([0-9]{1,7});", 1)
-        code = F.when(digits != "", digits.cast("long"))
-        good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(good, F.concat(_char(code), F.substr(part, F.length(digits) + 2))).otherwise(F.concat(F.lit("&#"), part))
+        end = F.instr(part, ";")
+        char = F.when(end.between(2, LONGEST_REFERENCE), _referenced(F.substr(part, F.lit(1), end - 1)))
+        return F.coalesce(F.concat(char, F.substr(part, end + 1)), F.concat(F.lit("&"), part))
 
-    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one)
-    return F.when(F.contains(text, F.lit("&#")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), one)
+    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
     """Visible text of a page: markup out, blocks on lines, character references decoded once.
 
-    Null gives the empty text.  An ampersand that was written ``&amp;`` is kept apart until the
-    end, so that nothing is decoded twice.
+    Null gives the empty text.  Scripts, styles and the like go with their content, up to the
+    closing tag of the same name.
     """
     text = F.coalesce(html, F.lit(""))
     for pattern, by in MARKUP:
         text = F.regexp_replace(text, pattern, by)
-    text = F.replace(F.replace(text, F.lit(KEPT), F.lit("")), F.lit("&amp;"), F.lit(KEPT))
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.replace(_numeric(text), F.lit(KEPT), F.lit("&"))
+    text = _decoded(text)
     for pattern, by in SPACES:
         text = F.regexp_replace(text, pattern, by)
-    return text
+    return F.btrim(text, F.lit(" \n"))
 
 
 def identifier(seed: Column) -> Column:
