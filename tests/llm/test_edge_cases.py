@@ -82,15 +82,16 @@ def test_clean_decides_by_row(spark):
 
 
 def test_fingerprints_of_many_shingles(spark):
-    from trialops.llm.decontamination import simhash
+    from trialops.llm.decontamination import COUNTED, simhash
 
     for n in (10, 32_767, 32_768, 70_000):
         values = np.random.default_rng(n).integers(-(1 << 63), 1 << 63, n)
         values[: n // 2 + 1] |= 5
         bits = (values.view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).sum(axis=0) * 2 > n
         want = int((bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum().astype(np.uint64).view(np.int64))
-        row = spark.createDataFrame([(values.tolist(),)], "g array<long>").select(simhash(F.col("g")).alias("s")).first()
-        assert row.s == want
+        given = spark.createDataFrame([(values.tolist(),)], "g array<long>")
+        for together in (4, 2) if n <= COUNTED else (2,):
+            assert given.select(simhash(F.col("g"), together).alias("s")).first().s == want
 
 
 def test_kept_text_keeps_genuine_characters_and_columns(spark):
@@ -122,3 +123,19 @@ def test_one_per_group_keeps_columns_of_any_name(spark):
     text = " ".join(f"w{i}" for i in range(40))
     documents = spark.createDataFrame([(1, text, "a"), (2, text, "b"), (3, "other words stand here today", "c")], "doc_id long, text string, _row string")
     assert {tuple(r) for r in jj.one_per_group(documents, 5, 80).collect()} == {(1, text, "a"), (3, "other words stand here today", "c")}
+
+
+def test_slots_of_rows_that_repeat(spark):
+    from trialops.llm import hash_tree as ht
+
+    rows = [(7, "same")] * 900 + [(i % 40, f"text {i % 13}") for i in range(400)] + [(None, None)] * 70 + [(None, "x")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    tree = ht.even_tree()
+    got = ht.shard_documents(documents, tree, tree)
+    assert got.count() == len(rows) and got.exceptAll(ht.shard_documents(documents, tree, tree)).count() == 0
+    keyed = got.select("doc_id", "size", "text_crc32", F.col("shard"))
+    small = ht.numbered(keyed, "shard", "doc_id", ["text_crc32", "size"], bucket_rows=16).collect()
+    for shard in {r.shard for r in small}:
+        slots = sorted(r.slot for r in small if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert sum(r.doc_id == 7 and r.size == 5 for r in small) == 900 and sum(r.doc_id is None for r in small) == 71

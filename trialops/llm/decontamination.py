@@ -60,16 +60,16 @@ def grams(text: Column, k: int | None = None) -> Column:
     return _let(F.transform(words(text), lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).alias("n"), pick(h).alias("grams")))
 
 
-def simhash(shingles: Column) -> Column:
-    """64 bits: bit b is set if it is set in more than half of the shingles (with repeats).
+#: Shingles that sixteen-bit counters hold.
+COUNTED = (1 << 15) - 1
 
-    Up to 32,767 shingles are counted in four counters to a long, more in two.
-    """
-    return F.when(F.size(shingles) < 1 << 15, _simhash(shingles, 4)).otherwise(_simhash(shingles, 2))
 
+def simhash(shingles: Column, together: int = 4) -> Column:
+    """64 bits: bit b is set if it is set in more than half of the shingles (with repeats).
 
-def _simhash(shingles: Column, together: int) -> Column:
-    """Counters of ``64 // together`` bits, ``together`` to a long: some bits of a shingle spread over them."""
+    Counters of ``64 // together`` bits, ``together`` to a long: four hold up to ``COUNTED``
+    shingles, two any number.  Some bits of a shingle are spread over the counters of a long at once.
+    """
     width, step = 64 // together, together.bit_length() - 1
     spread = F.array(*(F.lit(sum(1 << (width * b) for b in range(together) if n >> b & 1)).cast("long") for n in range(1 << together)))
     places = F.array(*(F.lit(i) for i in range(0, 64, together)))
@@ -156,9 +156,10 @@ def _matches(documents: DataFrame, part: DataFrame, radius: int) -> DataFrame:
         wanted.setdefault(row["m"], []).append(row["g"])
     blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
     masks = F.explode(F.array(*(F.lit(v) for v in _near_values(radius // BLOCKS))))
-    index = part.withColumn("item_print", simhash(F.col("item_grams"))).withColumn("block", blocks)
+    together = 4 if max(wanted) <= COUNTED else 2
+    index = part.withColumn("item_print", simhash(F.col("item_grams"), together)).withColumn("block", blocks)
     index = index.withColumn("mask", masks).withColumn("value", _block(F.col("item_print"), F.col("block")).bitwiseXOR(F.col("mask"))).drop("mask")
-    windows = _windows(documents, wanted).withColumn("print", simhash(F.col("window_grams"))).withColumn("block", blocks)
+    windows = _windows(documents, wanted).withColumn("print", simhash(F.col("window_grams"), together)).withColumn("block", blocks)
     windows = windows.withColumn("value", _block(F.col("print"), F.col("block")))
     near = windows.join(F.broadcast(index), ["m", "block", "value"])
     unlike = F.col("print").bitwiseXOR(F.col("item_print"))

@@ -89,18 +89,25 @@ def assign(key: Column, tree: list[Shard]) -> Column:
 def numbered(rows: DataFrame, shard: str, key: str, order: list[str], slot: str = "slot", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add a gapless number from 0 per shard.
 
-    Rows are spread over buckets by the hash of ``key`` and all ``order`` columns, so that neither
-    a large shard nor a repeated key meets in one task; the number of buckets follows the row count.
+    Equal rows are counted first and numbered in chunks of at most ``bucket_rows``.  Chunks are
+    spread over buckets by the hash of ``key``, all ``order`` columns and the chunk's number, so
+    that neither a large shard nor a repeated row meets in one task; the number of buckets follows
+    the row count.
     """
-    per_shard = rows.groupBy(shard).count().agg(F.max("count")).first()[0] or 0
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    per_shard = counted.groupBy(shard).agg(F.sum("_copies").alias("n")).agg(F.max("n")).first()[0] or 0
     buckets = max(1, -(-per_shard // bucket_rows))
-    spread = rows.withColumn("_bucket", F.pmod(F.xxhash64(key, *order), F.lit(buckets)))
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / bucket_rows))))
+    size = F.least(F.col("_copies") - F.col("_chunk") * bucket_rows, F.lit(bucket_rows))
+    spread = chunks.withColumns({"_size": size, "_bucket": F.pmod(F.xxhash64(key, *order, "_chunk"), F.lit(buckets))})
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = spread.groupBy(shard, "_bucket").count()
-    offsets = counts.select(shard, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(shard, "_bucket").orderBy(key, *order)
-    placed = spread.withColumn("_place", F.row_number().over(inside) - 1)
-    return placed.join(offsets, [shard, "_bucket"]).withColumn(slot, F.col("_offset") + F.col("_place")).drop("_bucket", "_offset", "_place")
+    counts = spread.groupBy(shard, "_bucket").agg(F.sum("_size").alias("_rows"))
+    offsets = counts.select(shard, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    others = [c for c in rows.columns if c not in (shard, key, *order)]
+    inside = Window.partitionBy(shard, "_bucket").orderBy(key, *order, *others, "_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    placed = spread.withColumn("_last", F.sum("_size").over(inside)).join(offsets, [shard, "_bucket"])
+    first = F.col("_offset") + F.col("_last") - F.col("_size")
+    return placed.withColumn(slot, F.explode(F.sequence(first, first + F.col("_size") - 1))).select(*rows.columns, slot)
 
 
 def shard_documents(documents: DataFrame, tree: list[Shard], grown: list[Shard]) -> DataFrame:

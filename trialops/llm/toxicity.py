@@ -92,8 +92,11 @@ def toxic_segments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
                 run = []
     kept, size = [], 0
     for segment, n in segments.most_common():
-        if n < 2 or size + len(segment) > TOXIC_BYTES:
+        if n < 2:
             break
+        # a shorter one may still fit
+        if size + len(segment) > TOXIC_BYTES:
+            continue
         kept.append(segment)
         size += len(segment)
     return b"".join(reversed(kept))
