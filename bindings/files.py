@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from bindings.registry import bind, out, table
@@ -12,12 +10,12 @@ from trialops.functions.nulls import is_true, to_number
 from trialops.operators import joins
 from trialops.operators.reshape import first_row, label
 from trialops.plans import switching
-from trialops.session import shared_folder
+from trialops.session import scratch_path
 from trialops.sources import delimited, schemas, sinks
 
 
 def folder(spark) -> str:
-    return f"{shared_folder(spark)}/recordings-{uuid4().hex}"
+    return scratch_path(spark, "recordings")
 
 
 def exported(df, columns):

@@ -194,7 +194,7 @@ _ALL = f"{FIX}, {_LABELLED}, {_LAST}, {_FIRST_ONLY}"
 @bind("j4_valid_with_latency", out(f"{_ALL} {_VALID}", "subject trial", "saccade_latency"))
 def valid_with_latency(spark, sf_dir):
     valid = last(spark, sf_dir).filter("trial_filter = 1")
-    return valid.join(latencies(spark, sf_dir), ["subject", "trial"], "left").select("subject", "trial", "saccade_latency")
+    return fixations.with_latency(valid, latencies(spark, sf_dir)).select("subject", "trial", "saccade_latency")
 
 
 @bind(

@@ -480,8 +480,8 @@ def pivot_median(spark, sf_dir):
 def times_with_errors(spark, sf_dir):
     rows = cleaned_sessions(spark, sf_dir)
     keys = ["subject", "timestamp"]
-    medians = grouped_median(clean.correct_only(rows), keys, "rt", "median_rt")
-    return medians.join(rows.groupBy(*keys).agg(F.count_if(F.col("acc") == 0).alias("errors")), keys)
+    cells = scores.touch_cells(rows, keys).filter("median_rt IS NOT NULL")
+    return cells.select(*keys, "median_rt", F.col("number_errors").alias("errors"))
 
 
 _SHARED = {

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from trialops.functions.looks import side_differs, side_matches
 from trialops.functions.nulls import is_true, sum_or_zero
-from trialops.operators.joins import lookup
 
 FILE = ("subject", "block")
 FACTS = ("position", "anticipations_count_variable", "trial_max_completed")
@@ -30,8 +29,12 @@ def file_facts(
 
 
 def add_facts(reduced: DataFrame, facts: DataFrame, keys=FILE) -> DataFrame:
-    """Facts of each file on its rows; files without facts have none."""
-    return lookup(reduced, facts, list(keys))
+    """Facts of each file on its rows; files without facts have none.
+
+    Reduced rows are few per file, a row per trial and area, so they are joined as they are; rows that
+    are not reduced yet take ``joins.lookup``, which counts them first.
+    """
+    return reduced.join(facts, list(keys), "left")
 
 
 def label_anticipations(df: DataFrame, area: str = "aoi", side: str = "position") -> DataFrame:

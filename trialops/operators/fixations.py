@@ -78,6 +78,11 @@ def first_correct(
     return first.join(onset, list(keys)).withColumn(LATENCY, F.col(start) - F.col("first_time"))
 
 
+def with_latency(last: DataFrame, latencies: DataFrame, keys=TRIAL) -> DataFrame:
+    """The trials of ``last`` with the latency of their first look at the target, if there was one."""
+    return last.join(latencies.select(*keys, LATENCY), list(keys), "left")
+
+
 def latency_scores(
     last: DataFrame,
     latencies: DataFrame,
@@ -97,7 +102,7 @@ def latency_scores(
     groups = groups or ["subject"]
     latency, n = F.col(LATENCY), F.col("copies")
     valid = (F.col("trial_filter") == 1) & (latency.isNull() | (latency >= threshold_ms))
-    trials = last.join(latencies.select(*keys, LATENCY), list(keys), "left").select(
+    trials = with_latency(last, latencies, keys).select(
         *groups,
         F.coalesce(valid, F.lit(False)).alias("valid"),
         (F.col("gap") > 0).alias("excluded"),
