@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-#: Named character references: those of HTML 4, and the apostrophe.
-ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+#: Named character references: those of HTML 4, and the apostrophe.  The usual ones are found first.
+USUAL = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0", "apos": "'"}
+ENTITIES = USUAL | {name: chr(code) for name, code in name2codepoint.items()}
 #: A reference is no longer than this, its semicolon counted.
 LONGEST_REFERENCE = 40
 #: Removed with their content, turned into line ends, and removed; in this order.
