@@ -89,14 +89,14 @@ def benchmark_decontamination(spark, sf_dir):
 def repeated_byte_windows(spark, sf_dir):
     from trialops.llm import repeated_windows as rw
 
-    rows = rw.deduplicated(table(spark, sf_dir, "documents"))
+    rows = rw.deduplicated(table(spark, sf_dir, "documents")).withColumn("_left", rw.kept_text())
     return rows.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
         F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["e"] - s["s"]).alias("n_removed"),
         F.size("_spans").cast("long").alias("n_spans"),
         F.sha2("_kept", 256).alias("kept_sha256"),
-        rw.kept_text().alias("text"),
+        F.col("_left").alias("text"),
     )
 
 

@@ -205,7 +205,10 @@ _CUT_LAST = "(?:[C-F][0-9A-F]|[EF][0-9A-F][89AB][0-9A-F]|F[0-9A-F](?:[89AB][0-9A
 
 
 def kept_text() -> Column:
-    """The kept bytes as text; characters that a removed range cuts in two go, all others stay."""
+    """The kept bytes as text; characters that a removed range cuts in two go, all others stay.
+
+    Take it in a step that makes no column called ``text`` beside it: Spark lets the lambdas in it read that one.
+    """
 
     def whole(g: Column) -> Column:
         first = F.when(g["s"] > 0, F.length(F.regexp_extract(F.hex(_between(g["s"], F.least(g["e"], g["s"] + 3))), _CUT_FIRST, 0)) / 2).otherwise(0)
