@@ -33,6 +33,14 @@ def test_blanks_and_lines(spark):
     assert said(spark, [" a \t b\r\n\n c<br>d <p> e</p>\n", None, "", "<p></p>", "one two", "&amp;"]) == ["a b\nc\nd\ne", "", "", "", "one two", "&"]
 
 
+def test_a_page_is_searched_once_per_pattern(spark):
+    from trialops.llm import warc
+
+    pages = spark.createDataFrame([(0, "<p>a &amp; b")], "i int, p string")
+    plan = pages.select(warc.plain_text(F.col("p")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == len(warc.MARKUP) + len(warc.SPACES)
+
+
 def test_derivatives_of_repeated_long_and_no_pages(spark):
     from trialops.llm import warc
 
