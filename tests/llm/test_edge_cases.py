@@ -147,3 +147,45 @@ def test_slots_of_rows_that_repeat(spark):
         slots = sorted(r.slot for r in small if r.shard == shard)
         assert slots == list(range(len(slots)))
     assert sum(r.doc_id == 7 and r.size == 5 for r in small) == 900 and sum(r.doc_id is None for r in small) == 71
+
+
+def test_near_copies_hold_few_texts_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from trialops.llm import bytehash
+    from trialops.llm import jaccard_join as jj
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 300))) for _ in range(3000)] + [None, "", "x " * 1_500_000]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(len(texts))), "text": texts})
+    parts = list(jj._slices([batch, batch.slice(0, 0)], "text"))
+    assert [r for p in parts for r in p["row"].to_pylist()] == list(range(len(texts)))
+    assert all(sum(len(t or "") for t in p["text"].to_pylist()[:-1]) <= jj.SLICE_BYTES for p in parts)
+    bytehash._powers.clear()
+    tracemalloc.start()
+    sets = jj.bags(texts[:3000])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 48e6
+    tokens, counts = np.unique(np.concatenate(sets + sets[:50] * 7), return_counts=True)
+    found = jj._often(sets + sets[:50] * 7, 8)
+    assert len(found[0]) and (found[0] == tokens[counts >= 8]).all() and (found[1] == counts[counts >= 8]).all()
+    assert all(len(x) == 0 for x in jj._often([], 8))
+
+
+def test_encoders_keep_few_words(monkeypatch):
+    import public_tokenizers
+
+    from trialops.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 1000)
+    monkeypatch.setattr(tokens, "PIECE_BYTES", 20_000)
+    texts = [" ".join(f"{chr(97 + i % 26)}w{i * 1000 + j}x" for j in range(1000)) for i in range(40)]
+    words = tokens.WordEncoder(path)
+    got = words.texts(texts, 1)
+    assert len(words.known) <= 1000 + 4000 and len(words.words) <= 500 + 4000
+    whole = words.tokenizer
+    assert all(ids.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1] for t, ids in zip(texts, got, strict=True))
