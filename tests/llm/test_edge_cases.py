@@ -189,3 +189,23 @@ def test_encoders_keep_few_words(monkeypatch):
     assert len(words.known) <= 1000 + 4000 and len(words.words) <= 500 + 4000
     whole = words.tokenizer
     assert all(ids.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1] for t, ids in zip(texts, got, strict=True))
+
+
+def test_known_words_are_small():
+    """A worker keeps them while the next stages run, so each takes few bytes."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    from trialops.llm import tokens
+
+    words = tokens.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = ["".join(np.insert(x, 6, " ", axis=1).ravel()) for x in np.random.default_rng(5).choice(letters, (60, 2000, 6))]
+    words.texts(texts[:1], 1)
+    tracemalloc.start()
+    words.texts(texts, 1)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 150 * 120_000  # as Python objects they took 32 MB
+    assert words.texts(texts[:1], 1)[0].tolist() == [*words.tokenizer.encode(texts[0], add_special_tokens=False).ids, 1]
