@@ -209,3 +209,28 @@ def test_known_words_are_small():
     tracemalloc.stop()
     assert kept < 150 * 120_000  # as Python objects they took 32 MB
     assert words.texts(texts[:1], 1)[0].tolist() == [*words.tokenizer.encode(texts[0], add_special_tokens=False).ids, 1]
+
+
+def test_near_duplicates_hold_few_rows_at_once(spark, monkeypatch):
+    from trialops.llm import jaccard_join as jj
+    from trialops.llm.common import BATCH_ROWS
+
+    before, seen, stored = spark.conf.get(BATCH_ROWS), [], jj.stored
+
+    def watched(df, name, *by):
+        seen.append(int(spark.conf.get(BATCH_ROWS)))
+        return stored(df, name, *by)
+
+    monkeypatch.setattr(jj, "stored", watched)
+    often = "these words stand often " + "x" * 3000
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 300 == 0, often).otherwise(F.concat(F.lit("y" * 2990), "id")).alias("text"))
+    groups = {r["doc_id"]: r["component_id"] for r in jj.similar_groups(docs).collect()}
+    assert groups == {i: i if i % 300 else 0 for i in range(3000)}
+    assert seen and max(seen) <= 1000 and spark.conf.get(BATCH_ROWS) == before
+    # rows are counted across batches: no 1,000 of them hold the shingles eight times
+    spark.conf.set(BATCH_ROWS, 500)
+    try:
+        heavy = jj._scan(docs, 4).select(F.explode("heavy.n")).collect()
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+    assert [r[0] for r in heavy] == [10, 10]
