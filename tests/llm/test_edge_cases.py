@@ -234,3 +234,18 @@ def test_near_duplicates_hold_few_rows_at_once(spark, monkeypatch):
     finally:
         spark.conf.set(BATCH_ROWS, before)
     assert [r[0] for r in heavy] == [10, 10]
+
+
+def test_search_rows_hold_distinct_terms(spark):
+    import public_tokenizers
+
+    from trialops.llm import packing
+    from trialops.llm.tokens import encoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [(1, "the end " * 400 + "of it"), (2, ""), (3, None)]
+    for row in packing.tokenized(spark.createDataFrame(texts, "doc_id long, text string"), path).collect():
+        dtype = encoder(path).dtype
+        ids, times = np.unique(np.frombuffer(row["ids"], dtype), return_counts=True)
+        kind = "u1" if len(row["counts"]) == len(ids) else "<u4"
+        assert np.frombuffer(row["terms"], dtype).tolist() == ids.tolist() and np.frombuffer(row["counts"], kind).tolist() == times.tolist()
