@@ -249,3 +249,42 @@ def test_search_rows_hold_distinct_terms(spark):
         ids, times = np.unique(np.frombuffer(row["ids"], dtype), return_counts=True)
         kind = "u1" if len(row["counts"]) == len(ids) else "<u4"
         assert np.frombuffer(row["terms"], dtype).tolist() == ids.tolist() and np.frombuffer(row["counts"], kind).tolist() == times.tolist()
+
+
+def test_near_duplicates_store_texts_of_near_pairs_only(spark, monkeypatch):
+    from pathlib import Path
+
+    from trialops.llm import jaccard_join as jj
+    from trialops.session import scratch_paths
+
+    stored, texts = jj.stored, []
+
+    def watched(df, name, *by):
+        out = stored(df, name, *by)
+        texts.extend(r["c"] for r in out.collect()) if name == "texts" else None
+        return out
+
+    monkeypatch.setattr(jj, "stored", watched)
+    own = lambda i: " ".join(f"d{i}w{j}" for j in range(60))
+    # all share a passage with others, only the last two are near
+    rows = [(i, f"{own(i)} shared passage of group {i % 5} stands here") for i in range(40)]
+    rows += [(40, own(40)), (41, own(40) + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with scratch_paths() as made:
+        groups = {r["doc_id"]: r["component_id"] for r in jj.similar_groups(docs).collect()}
+    assert groups == {i: min(i, 40) for i in range(42)}
+    assert len(texts) == 2
+    left = {Path(p.removeprefix("file:")).name.rsplit("-", 1)[0] for p in made if Path(p.removeprefix("file:")).exists()}
+    assert left <= {"scanned", "labels"}
+
+
+def test_pairs_are_told_apart_by_signatures_of_unlike_length(spark):
+    from trialops.llm import jaccard_join as jj
+
+    rng = np.random.default_rng(8)
+    bags = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (500, 520, 500, 3)]
+    bags[1] = np.union1d(bags[0], bags[1][:20])
+    rows = [(i, j, len(x), len(y), jj._signature(x), jj._signature(y)) for i, x in enumerate(bags) for j, y in enumerate(bags)]
+    pairs = spark.createDataFrame(rows, "a long, b long, n_a long, n_b long, signature_a binary, signature_b binary")
+    assert len({len(r[4]) for r in rows}) == 2
+    assert {tuple(r) for r in jj._near(pairs, 85).collect()} == {(i, i) for i in range(4)} | {(0, 1), (1, 0)}
