@@ -1,6 +1,7 @@
 """Repeated and missing keys, clashing columns, extreme values and cut characters."""
 
 import html
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -288,3 +289,39 @@ def test_pairs_are_told_apart_by_signatures_of_unlike_length(spark):
     pairs = spark.createDataFrame(rows, "a long, b long, n_a long, n_b long, signature_a binary, signature_b binary")
     assert len({len(r[4]) for r in rows}) == 2
     assert {tuple(r) for r in jj._near(pairs, 85).collect()} == {(i, i) for i in range(4)} | {(0, 1), (1, 0)}
+
+
+def test_search_for_windows_takes_strips(spark, monkeypatch):
+    import public_tokenizers
+
+    from trialops.llm import packing
+    from trialops.session import scratch_paths
+
+    rng = np.random.default_rng(12)
+    texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 25))) for i in range(250)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    seen, stored = [], packing.stored
+
+    def watched(df, name, *by):
+        seen.append(name)
+        return stored(df, name, *by)
+
+    def run():
+        with scratch_paths() as made:
+            rows = [tuple(r) for r in packing.pack(docs, path, 128, shard_docs=200).select("doc_id", "start", "length").collect()]
+        left = {Path(p.removeprefix("file:")).name.rsplit("-", 1)[0] for p in made if Path(p.removeprefix("file:")).exists()}
+        return sorted(rows), left
+
+    monkeypatch.setattr(packing, "stored", watched)
+    monkeypatch.setattr(packing, "release", lambda _: None)
+    monkeypatch.setattr(packing, "STRIP_SHARDS", 12)
+    whole, left = run()
+    assert left == {"tokens", "windows"}
+    rounds = seen.count("claims")
+    assert rounds and seen.count("nearest") == rounds
+    seen.clear()
+    monkeypatch.setattr(packing, "STRIP_SHARDS", 5)
+    monkeypatch.setattr(packing, "STRIP_BLOCKS", 1)
+    assert run()[0] == whole
+    assert seen.count("claims") == rounds and seen.count("nearest") == 3 * rounds
