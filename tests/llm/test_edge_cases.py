@@ -325,3 +325,54 @@ def test_search_for_windows_takes_strips(spark, monkeypatch):
     monkeypatch.setattr(packing, "STRIP_BLOCKS", 1)
     assert run()[0] == whole
     assert seen.count("claims") == rounds and seen.count("nearest") == 3 * rounds
+
+
+def test_repeated_windows_send_occurrences_of_repeated_groups_only(spark, monkeypatch):
+    from trialops.llm import repeated_windows as rw
+    from trialops.session import scratch_paths
+
+    runs, seen, stored = rw.runs, [], rw.stored
+
+    def watched(df, name, *by):
+        out = stored(df, name, *by)
+        seen.append((name, out.count()))
+        return out
+
+    def counted(keyed, length, *bits):
+        found = runs(keyed, length, *bits)
+        if bits:
+            seen.append(("sent", found.count()))
+        return found
+
+    monkeypatch.setattr(rw, "stored", watched)
+    monkeypatch.setattr(rw, "runs", counted)
+    line = lambda i: " ".join(f"t{i}w{j}" for j in range(150))
+    shared = "a passage that stands in two texts and is longer than sixty bytes in both of them"
+    rows = [(i, line(i)) for i in range(50)] + [(100 + i, line(100 + i) + shared + line(200 + i)) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with scratch_paths() as made:
+        spans = {r["d"]: r["spans"] for r in rw.repeated_spans(docs, 60).collect()}
+    assert spans.keys() == {100, 101}
+    left = [p for p in made if Path(p.removeprefix("file:")).exists()]
+    assert [Path(p).name.rsplit("-", 1)[0] for p in left] == ["spans"]
+    sizes = dict(seen)
+    assert sizes["sent"] == sizes["runs"] and sizes["texts"] <= 2
+
+
+def test_pipeline_keeps_the_last_step_only(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from trialops.llm.common import stored
+    from trialops.session import scratch_paths
+
+    def step(name):
+        return name, lambda spark, docs, sf_dir: stored(docs.withColumn(name, F.lit(1)), f"work_{name}")
+
+    docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [step("one"), step("two"), ("last", lambda spark, docs, sf_dir: docs)])
+    with scratch_paths() as around:
+        out = corpus_pipeline.run(spark, str(tmp_path))
+        assert sorted((r["doc_id"], r["one"], r["two"]) for r in out.collect()) == [(1, 1, 1), (2, 1, 1)]
+    assert around == []
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")).parent
+    assert [p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name.startswith(("work_", "one-", "two-"))] == ["two"]

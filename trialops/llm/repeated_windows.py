@@ -13,7 +13,8 @@ digits and groups that are left after the last digit are exactly the repeated wi
    compared by the hash of all their bytes.
 
 A group is identified by two 64-bit hashes (anchor and run, or anchor and window).  Groups are
-counted, never collected; occurrences meet their group in a join whose large sides Spark can split.
+counted first, never collected; only occurrences of groups that have several are then sent (and a
+few others) and meet their group in a join whose large sides Spark can split.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialops.llm.bytehash import PIECE, Ranges, lowest
-from trialops.llm.common import free_name, release, stored
+from trialops.llm.common import among, free_name, kept_bits, release, stored
+from trialops.session import discard
 
 LENGTH = 400
 _NO_ID = -(1 << 63)
@@ -87,21 +89,35 @@ def _bytes(column) -> list[bytes]:
     return [(t or "").encode("utf-8") for t in column.to_pylist()]
 
 
-def runs(keyed: DataFrame, length: int) -> DataFrame:
+def runs(keyed: DataFrame, length: int, bits: np.ndarray | None = None) -> DataFrame:
+    """All runs, or those whose anchor has its bit."""
+
     def scan(batches):
         for batch in batches:
             d, k = batch["d"].to_numpy(), batch["k"].to_numpy()
             for row, start, n, anchor, run in _runs(_bytes(batch["text"]), length):
+                if bits is not None:
+                    row, start, n, anchor, run = (x[kept] for kept in [among(anchor, bits)] for x in (row, start, n, anchor, run))
                 yield pa.RecordBatch.from_pydict({"d": d[row], "k": k[row], "s": start.astype(np.int64), "n": n.astype(np.int32), "anchor": anchor, "run": run})
 
     return keyed.select("d", "k", "text").mapInArrow(scan, "d long, k long, s long, n int, anchor long, run long")
 
 
-def windows(keyed: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
-    """All windows of the chosen runs: anchor, hash of the window, d, k, start."""
+def texts_with_runs(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """d, k, text and the list of the chosen runs of the texts that have some."""
     lists = chosen.groupBy("d", "k").agg(F.collect_list(F.struct("s", "n", "anchor")).alias("runs"))
+    bits = kept_bits(chosen.select("k").distinct(), "k")
+
+    def scan(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(among(batch["k"].to_numpy(), bits)))
+
     # Rows that repeat id and text are one occurrence each in the runs, and one text here.
-    texts = keyed.select("d", "k", "text").join(lists, ["d", "k"])
+    return keyed.select("d", "k", "text").mapInArrow(scan, "d long, k long, text string").join(lists, ["d", "k"])
+
+
+def windows(texts: DataFrame, length: int, bits: np.ndarray | None = None) -> DataFrame:
+    """All windows of the listed runs, or those whose hash has its bit: anchor, hash of the window, d, k, start."""
 
     def expand(batches):
         for batch in batches:
@@ -115,7 +131,8 @@ def windows(keyed: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
                     places = np.repeat(s[g] - np.concatenate([[0], np.cumsum(n[g])[:-1]]), n[g]) + np.arange(n[g].sum())
                     hashes = Ranges(data[low:high], 2).of(places - low, places - low + length).view(np.int64)
                     size = len(places)
-                    yield pa.RecordBatch.from_pydict({"anchor": np.repeat(anchor[g], n[g]), "w": hashes, "d": np.full(size, d), "k": np.full(size, k), "s": places})
+                    found = pa.RecordBatch.from_pydict({"anchor": np.repeat(anchor[g], n[g]), "w": hashes, "d": np.full(size, d), "k": np.full(size, k), "s": places})
+                    yield found if bits is None else found.filter(pa.array(among(hashes, bits)))
 
     return texts.mapInArrow(expand, "anchor long, w long, d long, k long, s long")
 
@@ -124,27 +141,40 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """Byte ranges that go, per key of ``_keyed``: d, k, spans (unsorted, may overlap)."""
     spark = documents.sparkSession
     keyed = _keyed(documents)
-    found = runs(keyed, length)
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("c"), F.min("run").alias("low"), F.max("run").alias("high")).where("c > 1")
-    shared = found.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchor")
+    found = runs(keyed, length).groupBy("anchor").agg(F.count("*").alias("c"), F.min("run").alias("low"), F.max("run").alias("high"))
+    anchors = stored(found.where("c > 1").select("anchor", (F.col("low") == F.col("high")).alias("same")), "anchors")
+    del found
+    release(spark)
+    shared = runs(keyed, length, kept_bits(anchors, "anchor")).join(anchors, "anchor")
     shared = stored(shared.select("anchor", "run", "d", "k", "s", "n", "same"), "runs")
-    del found, anchors
+    discard(anchors)
+    del anchors
     release(spark)
     mixed = shared.where(~F.col("same"))
     place = F.xxhash64("d", "k", "s")
     groups = mixed.groupBy("anchor", "run").agg(F.count("*").alias("c"), F.min(place).alias("chosen"))
     mixed = mixed.join(groups, ["anchor", "run"])
     cover = lambda s, e: F.struct(F.col(s).alias("s"), e.alias("e")).alias("span")
-    whole = shared.where("same").select("d", "k", "s", "n").unionByName(mixed.where("c > 1").select("d", "k", "s", "n"))
-    whole = whole.select("d", "k", cover("s", F.col("s") + F.col("n") + (length - 1)))
     # One run of each group stands for it.  Runs of rows that repeat id and text share a place.
     chosen = mixed.where(F.col("chosen") == place).select("d", "k", "s", "n", "anchor").dropDuplicates(["d", "k", "s"])
-    every = windows(keyed, chosen, length)
-    repeated = every.groupBy("anchor", "w").count().where("count > 1").select("anchor", "w")
-    single = every.join(repeated, ["anchor", "w"]).select("d", "k", cover("s", F.col("s") + length))
+    chosen = stored(chosen, "chosen")
+    whole = shared.where("same").select("d", "k", "s", "n").unionByName(mixed.where("c > 1").select("d", "k", "s", "n"))
+    whole = stored(whole.select("d", "k", cover("s", F.col("s") + F.col("n") + (length - 1))), "covered")
+    discard(shared)
+    del shared, mixed, groups
+    release(spark)
+    texts = stored(texts_with_runs(keyed, chosen), "texts")
+    discard(chosen)
+    release(spark)
+    counted = windows(texts, length).groupBy("anchor", "w").count().where("count > 1").select("anchor", "w")
+    repeated = stored(counted, "repeated")
+    del counted
+    release(spark)
+    single = windows(texts, length, kept_bits(repeated, "w")).join(repeated, ["anchor", "w"]).select("d", "k", cover("s", F.col("s") + length))
     spans = whole.unionByName(single).groupBy("d", "k").agg(F.collect_set("span").alias("spans"))
     merged = stored(spans.mapInArrow(_merge, "d long, k long, spans array<struct<s: long, e: long>>"), "spans")
-    del shared, mixed, groups, whole, chosen, every, repeated, single, spans
+    discard(texts, repeated, whole)
+    del single, spans
     release(spark)
     return merged
 
