@@ -184,3 +184,11 @@ def test_score_files_in_order(spark, tmp_path):
     sinks.write_scores(df, down, order_by=[F.col("v").desc_nulls_last(), F.col("i")])
     first = min(sinks.read_ordered(spark, down).collect(), key=lambda r: r.place)
     assert (first.v, first.i) == ("100,0", "4")
+
+
+def test_numbers_without_exponent_meet_no_pattern(spark):
+    column = str(sinks.plain_number(F.col("v")))
+    assert 0 < column.find("contains") < column.find("regexp_extract")
+    values = [0.0, -0.5, 12345.678, 1e7, -2.5e-4, float("nan"), float("inf"), None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(sinks.plain_number(F.col("v"), "far")).collect()
+    assert [r[0] for r in rows] == ["0.0", "-0.5", "12345.678", "10000000.0", "-0.00025", None, "far", None]

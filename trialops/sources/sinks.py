@@ -24,6 +24,8 @@ def plain_number(column: Column, infinite: str = "inf") -> Column:
     return (
         F.when(F.isnan(column), None)
         .when(F.abs(column) == float("inf"), F.concat(F.when(column < 0, "-").otherwise(""), F.lit(infinite)))
+        # patterns cost far more than all else here, and few numbers have an exponent
+        .when(~text.contains("E"), text)
         .when(power >= 0, F.concat(sign, large))
         .when(power < 0, F.concat(sign, small))
         .otherwise(text)
